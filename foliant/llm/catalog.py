@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from foliant.llm import bpe, sharding, token_counts
+from foliant.llm import bpe, line_dedup, sharding, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,8 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": bpe.query,
         "op3_sharding": sharding.query,
         "op4_token_counts": token_counts.query,
+        "op6_line_dedup": line_dedup.query,
+        "op10_simhash": simhash.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": sharding.SQL}
+    return {"op3_sharding": sharding.SQL, "op6_line_dedup": line_dedup.SQL}
