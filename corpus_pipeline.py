@@ -1,2 +1,71 @@
-"""Pipeline over documents (its stages follow)."""
-STAGES = []
+"""A corpus pipeline: toxic documents go, then repeated lines, near-duplicates and benchmark passages; the rest is encoded.
+
+``STAGES`` lists the stages.  Each takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as
+Parquet and read back as the next one's ``docs``.  All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from foliant.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from foliant.llm.session import shared_dir, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifiers reject go."""
+    return toxicity.filtered(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each line, the first occurrence in the corpus stays; documents with nothing left go."""
+    return line_dedup.deduplicated(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.deduplicated(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Identifiers of each document's text."""
+    return bpe.encode(docs, keep=("doc_id", "lang", "source"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("simhash", drop_near_duplicates),
+    ("decontamination", drop_benchmark),
+    ("bpe", encode),
+]
+
+#: SQL can express neither the classifiers nor the fingerprints.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies ``STAGES`` to ``documents``; each result is a table in the shared folder."""
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if k:
+            _remove(spark, before)
+        before = path
+    return docs
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Removes a table that the next stage has read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

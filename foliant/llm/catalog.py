@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from foliant.llm import bpe, line_dedup, sharding, simhash, token_counts
+from foliant.llm import bpe, decontaminate, line_dedup, sharding, simhash, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_bpe": bpe.query,
+        "op2_decontaminate": decontaminate.query,
         "op3_sharding": sharding.query,
         "op4_token_counts": token_counts.query,
         "op6_line_dedup": line_dedup.query,
+        "op8_toxicity": toxicity.query,
         "op10_simhash": simhash.query,
     }
 
