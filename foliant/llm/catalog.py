@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from foliant.llm import bpe, decontaminate, line_dedup, sharding, simhash, token_counts, toxicity
+from foliant.llm import ann, bpe, decontaminate, html_text, line_dedup, sharding, simhash, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,8 +17,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": decontaminate.query,
         "op3_sharding": sharding.query,
         "op4_token_counts": token_counts.query,
+        "op5_ann": ann.query,
         "op6_line_dedup": line_dedup.query,
         "op8_toxicity": toxicity.query,
+        "op9_html_text": html_text.query,
         "op10_simhash": simhash.query,
     }
 
