@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from foliant.llm import ann, bpe, decontaminate, html_text, line_dedup, sharding, simhash, token_counts, toxicity
+from foliant.llm import ann, bpe, decontaminate, html_text, line_dedup, sharding, simhash, token_counts, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": token_counts.query,
         "op5_ann": ann.query,
         "op6_line_dedup": line_dedup.query,
+        "op7_url_filter": url_filter.query,
         "op8_toxicity": toxicity.query,
         "op9_html_text": html_text.query,
         "op10_simhash": simhash.query,
@@ -26,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": sharding.SQL, "op6_line_dedup": line_dedup.SQL}
+    return {"op3_sharding": sharding.SQL, "op6_line_dedup": line_dedup.SQL, "op7_url_filter": url_filter.SQL}
