@@ -101,7 +101,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     current = [s.replace("s", "t") for s in _SEGMENTS]
-    parts = ", ".join(f"split_part(p, '/', {k}) AS s{k}" for k in range(1, LEVELS)) + f", coalesce(array_to_string(list_slice(string_split(p, '/'), {LEVELS}, NULL), '/'), '') AS s{LEVELS}"
+    parts = ", ".join(f"split_part(p, '/', {k}) AS s{k}" for k in range(1, LEVELS)) + f", coalesce(array_to_string(string_split(p, '/')[{LEVELS}:], '/'), '') AS s{LEVELS}"
     s, t = ", ".join(_SEGMENTS), ", ".join(current)
     steps = [f"r0 AS (SELECT *, {', '.join(f'{a} AS {b}' for a, b in zip(_SEGMENTS, current))} FROM paths)"]
     for k in range(1, LEVELS + 1):
