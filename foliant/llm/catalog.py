@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": sharding.SQL, "op6_line_dedup": line_dedup.SQL, "op7_url_filter": url_filter.SQL}
+    return {"op2_decontaminate": decontaminate.SQL, "op3_sharding": sharding.SQL, "op6_line_dedup": line_dedup.SQL, "op7_url_filter": url_filter.SQL}

@@ -265,3 +265,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The same overlaps by brute force over all diagonals with equal words.
+SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+') AS a FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+') AS b FROM benchmark),
+n AS (SELECT item_id, b, len(b) AS n, least({WINDOW}, len(b)) AS w FROM i WHERE len(b) >= {LEAST_WORDS}),
+dt AS (SELECT doc_id, unnest(a) AS word, unnest(range(len(a))) AS p FROM d),
+it AS (SELECT item_id, n, w, unnest(b) AS word, unnest(range(n)) AS q FROM n),
+c AS (SELECT doc_id, item_id, n, w, p - q AS diagonal, list(q) AS qs FROM dt JOIN it USING (word) GROUP BY ALL HAVING count(*) >= {LEAST_WORDS}),
+s AS (SELECT *, unnest(range(n - w + 1)) AS at_item FROM c),
+v AS (SELECT doc_id, item_id, n, w, at_item + diagonal AS at_doc, at_item, len(list_filter(qs, lambda q: q >= at_item AND q < at_item + w)) AS matched FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, at_item, at_doc) AS k FROM v
+      WHERE matched >= CASE WHEN n >= {WINDOW} THEN {WINDOW - SUBSTITUTED} ELSE n END)
+SELECT doc_id, item_id, at_doc::INTEGER AS doc_pos, at_item::INTEGER AS item_pos, matched::INTEGER AS matched, w::INTEGER AS compared FROM r WHERE k = 1
+"""
