@@ -64,7 +64,7 @@ def sortable_long(value: Column) -> Column:
 def from_sortable_long(value: Column) -> Column:
     """The number of 8 sortable bytes; null for other lengths."""
     unsigned = F.conv(F.hex(value), 16, 10).cast("decimal(20,0)")
-    return F.when(F.octet_length(value) == 8, (unsigned - F.lit(1 << 63).cast("decimal(20,0)")).cast("long"))
+    return F.when(F.octet_length(value) == 8, (unsigned - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long"))
 
 
 def decoded(value: Column, mapping: str) -> Column:

@@ -69,7 +69,7 @@ class Request:
     result_limit: int = 20000
 
     def __post_init__(self):
-        sort_order(self.sort)
+        _order_name(self.sort)
         int_range(self.length), int_range(self.count)
 
     def fields(self, df: DataFrame) -> list[str]:
@@ -78,14 +78,21 @@ class Request:
         return [c for c in df.columns if c.lower() in wanted]
 
 
-def sort_order(name: str) -> list[Column]:
-    low = (name or "term").lower()
-    for start, order in (("-term", [F.asc("term")]), ("term", [F.desc("term")]), ("-count", [F.desc("count"), F.asc("term")]), ("count", [F.asc("count"), F.asc("term")])):
-        if low.startswith(start):
-            return order
+#: Column and whether it descends, by the beginning of the name.
+_ORDERS = {"-term": [("term", False)], "term": [("term", True)], "-count": [("count", True), ("term", False)], "count": [("count", False), ("term", False)]}
+
+
+def _order_name(name: str) -> str:
+    for start in _ORDERS:
+        if (name or "term").lower().startswith(start):
+            return start
     raise ValueError(f"unknown sort order: {name!r}")
 
 
+def sort_order(name: str) -> list[Column]:
+    return [F.desc(c) if down else F.asc(c) for c, down in _ORDERS[_order_name(name)]]
+
+
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units: characters beyond U+FFFF count twice."""
     return F.length(text) + F.length(F.regexp_replace(text, "[^\\x{10000}-\\x{10FFFF}]", ""))
