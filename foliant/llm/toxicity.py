@@ -40,6 +40,8 @@ POSITIVES, UNLABELLED = 4000, 12000
 #: Rare words would let the classifiers learn single documents by heart, wrongly confirmed ones among them.
 LEAST_DOCS, CHANCE = 5, 0.05
 CLASSIFIERS, STEPS = 3, 1000
+#: The prior where only confirmed documents are listed, and none is given.
+PRIOR = 0.1
 #: A document is rejected from this probability on.
 THRESHOLD = 0.5
 
@@ -112,7 +114,7 @@ def risk_slopes(sp: np.ndarray, su: np.ndarray, prior: float) -> tuple[np.ndarra
     return up + rest_p, rest_u, prior * loss(sp).mean() + negative
 
 
-def fit(positive: Rows, unlabelled: Rows, prior: float, n: int, seed: int = 0, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(positive: Rows, unlabelled: Rows, prior: float, n: int, seed: int = 0, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-6) -> tuple[np.ndarray, float]:
     """Weights and intercept of one classifier over ``n`` features."""
     rng = np.random.default_rng(seed)
     p, u = (rows.take(rng.permutation(len(rows))[: -(-len(rows) * 4 // 5)]) for rows in (positive, unlabelled))
@@ -159,10 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     n, yes = by_doc.agg(F.count("*"), F.coalesce(F.sum("yes"), F.lit(0))).head()
     if not yes:
         return Model(None)
-    prior = prior if prior is not None else min(0.5, yes / n)
+    prior = prior if prior is not None else min(0.5, yes / n) if yes < n else PRIOR
     pool = by_doc
     if yes == n:  # only confirmed ones are listed: any document may stand for unlabelled text
-        prior = min(prior, 0.1)
         pool = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id")).distinct()
     p = by_doc.where("yes = 1").orderBy(F.xxhash64("id"), "id").limit(positives).select("id", F.lit(True).alias("p"))
     u = pool.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(unlabelled).select("id", F.lit(False).alias("p"))
