@@ -14,22 +14,20 @@ INDEX_EXPR = {"request": "([^ ]+ [^ ]+ )/$1", "query": "//indices//(.*)//\\d*//i
 IGNORED_SETTINGS = ("name", "node.name", "node.id", "node.tag", "node.data", "http.enabled")
 
 HELP = {
-    "api": {
-        "termlist": "Terms of fields, with filters, ranges, sorting and collisions",
-        "view": "Stored values, terms and columns of one document",
-        "cache_dump": "What is cached, by index and query",
-        "version": "Versions and settings of the nodes, and how they differ",
-    },
-    "example": {
-        "similarity": {"type": "bounded_similarity", "max_idf": 0.0, "max_tf": 0.2, "force_tf": -1, "bias_tf": 0.6, "discount_overlaps": True},
-        "aggregation": {"bm_undup_by_parents": {"parent_paths": "_nested_,order,customer", "resilient": False, "cache_bitsets": True}},
-    },
+    "termlist": "Terms of fields, with filters, ranges, sorting and collisions",
+    "view": "Stored values, terms and columns of one document",
+    "cache_dump": "What is cached, by index and query",
+    "version": "Versions and settings of the nodes, and how they differ",
 }
 
 
 def help_page() -> dict:
-    """The operations on offer, with examples."""
-    return HELP
+    """The operations on offer, the settings of the score, and the parameters of parent counts."""
+    from dataclasses import asdict
+
+    from foliant.operators.similarity import Settings
+
+    return {"operations": HELP, "score_settings": asdict(Settings()), "parent_counts": ["parent_paths", "compensate_non_existing", "resilient"]}
 
 
 def split_key(key: Column, kind: str, index_expr: str | None = "") -> tuple[Column, Column]:

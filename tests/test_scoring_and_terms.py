@@ -137,4 +137,4 @@ def test_versions(spark):
     got = {r.node: (r.differences, r.reason) for r in admin.version_report(nodes).collect()}
     assert got == {"a": ({}, None), "b": ({"y": "2 | -"}, "settings"), "c": ({}, "version")}
     assert tuple(admin.version_summary(nodes).head()) == (3, False, True)
-    assert "api" in admin.help_page() and admin.node_settings(spark).count() == 1
+    assert "termlist" in admin.help_page()["operations"] and admin.node_settings(spark).count() == 1
