@@ -29,7 +29,7 @@ from foliant.llm.text import ragged, raw, slices
 from foliant.llm.vocabulary import PATTERN, Cuts, default_path, ranks
 
 #: Bytes of text of which the fragments are found, made distinct and encoded at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 class Codec:

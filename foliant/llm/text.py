@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are expanded to code points and hashes at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 
@@ -56,7 +56,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     word = np.zeros(sys.maxunicode + 1, bool)
     lower = np.arange(sys.maxunicode + 1, dtype=np.uint32)
     for c in range(sys.maxunicode + 1):
-        if 0xD800 <= c <= 0xDFFF or 0xE000 <= c <= 0xF8FF or c >= 0x32000:
+        if 0xD800 <= c <= 0xF8FF or 0x323B0 <= c < 0xE0100 or c > 0xE01EF:  # surrogates, private use, unassigned
             continue
         ch = chr(c)
         word[c] = unicodedata.category(ch)[0] in "LMN"

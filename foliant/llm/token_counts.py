@@ -27,7 +27,7 @@ from foliant.llm.session import table
 from foliant.llm.text import slices
 from foliant.llm.vocabulary import PATTERN, Cuts, default_path, ranks
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Distinct pieces whose counts a Python worker remembers between batches; it then starts anew.
 REMEMBERED = 400_000
 
