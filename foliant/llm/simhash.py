@@ -257,9 +257,8 @@ def forest(group: np.ndarray, fps: np.ndarray, side: np.ndarray | None = None, r
     return joined, label[joined]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of sorted rows ``key, tile, side, doc_id, fp``; a block may lie across batches."""
-    rest: list[np.ndarray] = []
+def _blocks(radius: int):
+    """For ``mapInArrow``: edges of sorted rows ``key, tile, side, doc_id, fp``; a block may lie across batches."""
 
     def edges(x: np.ndarray) -> pa.RecordBatch:
         group = np.cumsum(np.concatenate([[0], (x[1:, 0] != x[:-1, 0]) | (x[1:, 1] != x[:-1, 1])])) if len(x) else np.zeros(0, np.int64)
@@ -273,26 +272,30 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if part.any():
                     own = x[part]
                     # a tile compared with itself has one side
-                    i, j = forest(group[part], own[:, 4:].view(U64), None if side is None else side)
+                    i, j = forest(group[part], own[:, 4:].view(U64), side, radius)
                     a.append(own[i, 3])
                     b.append(own[j, 3])
             out = [np.concatenate(a), np.concatenate(b)]
         differ = out[0] != out[1]
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(*out)[differ]), pa.array(np.minimum(*out)[differ])], names=["a", "b"])
 
-    for batch in batches:
-        fp = batch.column(4).flatten().to_numpy().reshape(-1, BITS // 64)
-        x = np.column_stack([*(batch.column(i).to_numpy() for i in range(4)), fp])
-        if not len(x):
-            continue
-        if rest and (rest[-1][-1, :2] == x[-1, :2]).all():
-            rest.append(x)  # the same block still
-            continue
-        cut_at = int(np.flatnonzero((x[:, :2] != x[-1, :2]).any(1))[-1]) + 1 if (x[:, :2] != x[-1, :2]).any() else 0
-        yield edges(np.concatenate([*rest, x[:cut_at]]))
-        rest = [x[cut_at:]]
-    if rest:
-        yield edges(np.concatenate(rest))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] = []
+        for batch in batches:
+            fp = batch.column(4).flatten().to_numpy().reshape(-1, BITS // 64)
+            x = np.column_stack([*(batch.column(i).to_numpy() for i in range(4)), fp])
+            if not len(x):
+                continue
+            if rest and (rest[-1][-1, :2] == x[-1, :2]).all():
+                rest.append(x)  # the same block still
+                continue
+            cut_at = int(np.flatnonzero((x[:, :2] != x[-1, :2]).any(1))[-1]) + 1 if (x[:, :2] != x[-1, :2]).any() else 0
+            yield edges(np.concatenate([*rest, x[:cut_at]]))
+            rest = [x[cut_at:]]
+        if rest:
+            yield edges(np.concatenate(rest))
+
+    return run
 
 
 def _tiled(rows: DataFrame, tile: int) -> DataFrame:
@@ -344,17 +347,18 @@ def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE, one_task: int = ONE_TASK_EDGES) -> DataFrame:
-    """``doc_id, duplicate_of``: every document of a group but the smallest ``doc_id``, and that one."""
-    if radius != RADIUS:
-        raise ValueError(f"the blocking keys are tuned to a radius of {RADIUS}")
+    """``doc_id, duplicate_of``: every document of a group but the smallest ``doc_id``, and that one.
+
+    The blocking keys reach a recall of 0.9 up to about ``RADIUS``.
+    """
     sketches = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), sketch(F.col(text)).alias("s"))
     sketches = cut(sketches.where("s is not null").select("doc_id", "s.fp", "s.keys"))
     # equal fingerprints with equal keys, all exact copies among them, are one row from here on
-    alike = sketches.groupBy("fp", "keys").agg(F.min("doc_id").alias("doc_id"), F.collect_set("doc_id").alias("ids"))
-    alike = cut(alike)
-    copies = alike.select(F.explode("ids").alias("a"), F.col("doc_id").alias("b"))
+    alike = cut(sketches.groupBy("fp", "keys").agg(F.min("doc_id").alias("doc_id")))
+    name = [F.xxhash64(F.lit(seed), "fp", "keys").alias(f"k{seed}") for seed in (1, 2)]
+    copies = sketches.select(F.col("doc_id").alias("a"), *name).join(alike.select(F.col("doc_id").alias("b"), *name), ["k1", "k2"]).where("a <> b").select("a", "b")
     blocks = _tiled(alike.select("doc_id", "fp", "keys"), tile).repartition("key", "tile").sortWithinPartitions("key", "tile", "doc_id")
-    return components(blocks.mapInArrow(_blocks, "a long, b long").union(copies), one_task)
+    return components(blocks.mapInArrow(_blocks(radius), "a long, b long").union(copies), one_task)
 
 
 def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
