@@ -9,7 +9,8 @@ from foliant.functions.formats import printable, size_text
 from foliant.functions.replace import extracted_by, remainder
 
 #: Default expressions that split a cache key into index and query.
-INDEX_EXPR = {"request": "([^ ]+ [^ ]+ )/$1", "query": "//indices//(.*)//\\d*//index/$1", "bitset": "(.*)/$1"}
+_SHARD_PATH = "/indices/(.*)/[0-9]*/index"
+INDEX_EXPR = {"request": "([^ ]+ [^ ]+ )/$1", "query": _SHARD_PATH.replace("/", "//") + "/$1", "bitset": "(.*)/$1"}
 #: Settings in which nodes may differ.
 IGNORED_SETTINGS = ("name", "node.name", "node.id", "node.tag", "node.data", "http.enabled")
 

@@ -573,5 +573,8 @@ def regex_template_escape(spark, d):
 def search_body(spark, d):
     from foliant.plans import dsl
 
-    body = {"query": {"bm_match_nested": {"query": {"match_all": {}}}}, "aggs": {"roles": {"terms": {"field": "role", "size": 10}, "aggs": {"conversations": {"bm_undup_by_parents": {"parent_paths": "_nested_"}}}}}}
+    nested = dict(bm_match_nested={"query": {"match_all": {}}})
+    counted = dict(bm_undup_by_parents=dict(parent_paths="_nested_"))
+    roles = dict(terms=dict(field="role", size=10), aggs=dict(conversations=counted))
+    body = dict(query=nested, aggs=dict(roles=roles))
     return dsl.run(_conversations(spark, d), body, dsl.Schema(from_files=False)).aggs["roles"]

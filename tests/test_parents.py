@@ -87,7 +87,8 @@ def test_queries(nested):
 
 def test_bodies(spark, nested):
     schema = dsl.Schema(_parents(spark), KEYS, from_files=False)
-    body = {"query": {"bm_match_nested": {}}, "aggs": {"k": {"terms": {"field": "kind"}, "aggs": {"orders": {"bm_undup_by_parents": {"parent_paths": "_nested_,order"}}}}}, "ext": {"_bm": {}}}
+    orders = dict(bm_undup_by_parents=dict(parent_paths="_nested_,order"))
+    body = dict(query=dict(bm_match_nested={}), aggs=dict(k=dict(terms=dict(field="kind"), aggs=dict(orders=orders))), ext=dict(_bm={}))
     out = dsl.run(nested, body, schema)
     assert sorted(tuple(r) for r in out.aggs["k"].collect()) == [("p", 3, 2), ("q", 1, 1)]
     assert out.hits.select("_bm.docvalues").head().docvalues["kind"] in "pq"
