@@ -67,6 +67,24 @@ def _features(part: pa.Array) -> pa.Array:
     return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))
 
 
+def _numbered(known: np.ndarray):
+    """Arrow UDF from a text's words to the places of those in ``known``."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def run(part: pa.Array) -> pa.Array:
+        if not len(part):
+            return pa.array([], pa.list_(pa.int32()))
+        h = part.flatten().to_numpy(zero_copy_only=False).view(U64)
+        row = np.repeat(np.arange(len(part)), part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        place = np.searchsorted(known, h)
+        hit = place < len(known)
+        hit[hit] = known[place[hit]] == h[hit]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=len(part)))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(place[hit].astype(np.int32)))
+
+    return run
+
+
 def telling(in_p: np.ndarray, n_p: int, in_u: np.ndarray, n_u: int) -> np.ndarray:
     """Which words are kept, by the number of positives and of unlabelled that hold them."""
     often = in_p + in_u >= LEAST_DOCS
@@ -169,23 +187,20 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     u = pool.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(unlabelled).select("id", F.lit(False).alias("p"))
     sample = p.unionByName(u).groupBy("id").agg(F.bool_or("p").alias("p"), F.bool_or(~F.col("p")).alias("u"))
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    rows = own.join(F.broadcast(sample), "id").select("p", "u", _features("text").alias("f")).toArrow()  # bounded by the sample
-    if not rows.num_rows:
-        return Model(None)
-    lists = rows["f"].combine_chunks()
-    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    known, number = np.unique(lists.flatten().to_numpy(zero_copy_only=False).view(U64), return_inverse=True)
-    every = Rows(number, np.concatenate([[0], np.cumsum(size)]))
-    is_p, is_u = (np.flatnonzero(rows[c].to_numpy()) for c in "pu")
-    if not len(is_p) or not len(is_u):
+    rows = cut(own.join(F.broadcast(sample), "id").select("p", "u", _features("text").alias("f")))
+    n_p, n_u = rows.agg(F.count_if("p"), F.count_if("u")).head()
+    if not n_p or not n_u:
         return Model(None)
-    kept = telling(*(x for rows_ in (is_p, is_u) for x in (np.bincount(every.take(rows_).flat, minlength=len(known)), len(rows_))))
-    new = np.cumsum(kept) - 1
-    row = np.repeat(np.arange(len(size)), size)[kept[number]]
-    every = Rows(new[number[kept[number]]], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(size)))]))
-    p, u, k = every.take(is_p), every.take(is_u), int(kept.sum())
+    often = rows.select("p", "u", F.explode("f").alias("w")).groupBy("w").agg(F.count_if("p").alias("in_p"), F.count_if("u").alias("in_u")).where(F.col("in_p") + F.col("in_u") >= LEAST_DOCS).toArrow()
+    w, in_p, in_u = (often[c].to_numpy() for c in ("w", "in_p", "in_u"))
+    known = np.sort(w[telling(in_p, n_p, in_u, n_u)].view(U64))
+    found = rows.select("p", "u", _numbered(known)("f").alias("f")).toArrow()
+    lists = found["f"].combine_chunks()
+    every = Rows(lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]))
+    p, u = (every.take(np.flatnonzero(found[c].to_numpy(zero_copy_only=False))) for c in "pu")
+    k = len(known)
     fitted = [fit(p, u, prior, k, seed) for seed in range(CLASSIFIERS)]
-    return Model(known[kept], np.mean([w for w, _ in fitted], axis=0), float(np.mean([b for _, b in fitted])))
+    return Model(known, np.mean([w for w, _ in fitted], axis=0), float(np.mean([b for _, b in fitted])))
 
 
 def toxicity(text: Column, model: Model, spark: SparkSession) -> Column:
