@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,8 +142,6 @@ def limited(listed: DataFrame, request: Request) -> DataFrame:
 
 def ranked(listed: DataFrame, request: Request) -> DataFrame:
     """``limited`` with the ``rank`` of each row; the limit comes first, so only its rows are numbered in one place."""
-    from pyspark.sql import Window
-
     return limited(listed, request).withColumn("rank", F.row_number().over(Window.orderBy(*sort_order(request.sort))))
 
 
@@ -159,10 +157,14 @@ def collisions(listed: DataFrame, request: Request) -> DataFrame:
     A term that the replacement leaves alone takes no part; with ``collisions_only`` off, changed terms that
     meet none come with the count 0.
     """
-    changed = listed.select("term", "count", replaced(F.col("term"), request.repl_expr).alias("collision")).where("collision is not null")
-    other = listed.select(F.col("term").alias("collision"), F.col("count").alias("collision_count"))
-    joined = changed.join(other, "collision", "inner" if request.collisions_only else "left")
-    return joined.select("term", "count", "collision", F.coalesce("collision_count", F.lit(0)).alias("collision_count"))
+    # each term goes to its own key and to that of its replacement, so the list is made only once
+    own = F.struct(F.col("term").alias("key"), F.lit(None).cast("string").alias("changed"))
+    other = F.struct(replaced(F.col("term"), request.repl_expr).alias("key"), F.col("term").alias("changed"))
+    both = listed.select("count", F.explode(F.array(own, other)).alias("k")).select("count", "k.*").where("key is not null")
+    met = both.withColumn("met", F.max(F.when(F.col("changed").isNull(), F.col("count"))).over(Window.partitionBy("key"))).where("changed is not null")
+    if request.collisions_only:
+        met = met.where("met is not null")
+    return met.select(F.col("changed").alias("term"), "count", F.col("key").alias("collision"), F.coalesce("met", F.lit(0)).alias("collision_count"))
 
 
 def term_fields(tables: dict[str, DataFrame], term: str, mapping: Mapping = Mapping()) -> DataFrame:
