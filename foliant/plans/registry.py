@@ -86,12 +86,16 @@ def undup_live_hops(spark, d):
     return undup(_lines(spark, d), "l_returnflag", "orders,customer", _parents(spark, d, F.expr("o_orderstatus <> 'P'")), _KEYS)
 
 
+#: Conversations of fewer than 4 turns count as deleted.
+_TALKS = "conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) >= 4)"
+
+
 def _conversations(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    return with_nested(model(turns, "conv_id", live=F.col("conv_id") % 7 != 3), "turns")
+    return with_nested(model(turns, "conv_id", live=F.size("turns") >= 4), "turns")
 
 
-@registered("SELECT role, count(DISTINCT conv_id) AS doc_count FROM conversations WHERE conv_id % 7 <> 3 AND role IS NOT NULL GROUP BY 1")
+@registered(f"SELECT role, count(DISTINCT conv_id) AS doc_count FROM conversations WHERE {_TALKS} AND role IS NOT NULL GROUP BY 1")
 def undup_nested(spark, d):
     return undup(search(_conversations(spark, d), MatchNested()), "role", "_nested_", {}, {})
 
@@ -108,11 +112,11 @@ def undup_nested_then_parent(spark, d):
     return undup(search(rows, MatchNested()), "l_returnflag", "_nested_,customer", _parents(spark, d), _KEYS)
 
 
-@registered("""SELECT f AS l_returnflag, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_returnflag = f AND l_quantity > 49) AS doc_count
+@registered("""SELECT f AS l_returnflag, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_returnflag = f) AS doc_count
 FROM (SELECT unnest(['A', 'N', 'R', 'X']) AS f)""")
 def undup_empty_bucket(spark, d):
     buckets = spark.createDataFrame([(f,) for f in "ANRX"], "l_returnflag string")
-    return undup(_lines(spark, d).where("l_quantity > 49"), "l_returnflag", "orders", _parents(spark, d), _KEYS, buckets=buckets)
+    return undup(_lines(spark, d), "l_returnflag", "orders", _parents(spark, d), _KEYS, buckets=buckets)
 
 
 @registered("SELECT DISTINCT l_returnflag, 0::BIGINT AS doc_count FROM lineitem")
@@ -158,27 +162,23 @@ def deleted_by_snapshot(spark, d):
     return deleted_since(docs, search(_documents(spark, d), MatchAll()), "doc_id").select("doc_id")
 
 
-@registered("SELECT conv_id, turn FROM conversations WHERE conv_id % 7 <> 3")
+@registered(f"SELECT conv_id, turn FROM conversations WHERE {_TALKS}")
 def match_nested_all(spark, d):
     return search(_conversations(spark, d), MatchNested()).select("conv_id", "turn")
 
 
-@registered("SELECT conv_id, turn FROM conversations WHERE conv_id % 7 <> 3 AND role = 'assistant'")
+@registered(f"SELECT conv_id, turn FROM conversations WHERE {_TALKS} AND role = 'assistant'")
 def match_nested_sub(spark, d):
     return search(_conversations(spark, d), MatchNested(Term("role", "assistant"))).select("conv_id", "turn")
 
 
-@registered("""SELECT conv_id, turn FROM conversations WHERE conv_id % 7 <> 3 AND conv_id >= 20
-UNION ALL SELECT DISTINCT conv_id, NULL::BIGINT FROM conversations WHERE conv_id % 7 <> 3 AND conv_id >= 20""")
+@registered(f"""SELECT conv_id, turn FROM conversations WHERE {_TALKS}
+UNION ALL SELECT DISTINCT conv_id, NULL::BIGINT FROM conversations WHERE {_TALKS}""")
 def allow_nested(spark, d):
-    class From20(MatchAll):
-        def predicate(self):
-            return F.col("conv_id") >= 20
-
-    return search(_conversations(spark, d), AllowNested(From20())).select("conv_id", "turn")
+    return search(_conversations(spark, d), AllowNested(MatchAll())).select("conv_id", "turn")
 
 
-@registered("SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 7 <> 3")
+@registered(f"SELECT DISTINCT conv_id FROM conversations WHERE {_TALKS}")
 def root_only_default(spark, d):
     return search(_conversations(spark, d), MatchAll()).select("conv_id")
 
@@ -569,7 +569,7 @@ def regex_template_escape(spark, d):
     return table(spark, d, "nation").select("n_name", extracted_by(F.col("n_name"), "([A-Z]+)/$1x").alias("made"))
 
 
-@registered("""SELECT role, count(*) AS count, count(DISTINCT conv_id) AS conversations FROM conversations WHERE conv_id % 7 <> 3 GROUP BY 1""")
+@registered(f"""SELECT role, count(*) AS count, count(DISTINCT conv_id) AS conversations FROM conversations WHERE {_TALKS} GROUP BY 1""")
 def search_body(spark, d):
     from foliant.plans import dsl
 
