@@ -46,3 +46,10 @@ def test_contract(spark):
 def test_filters_reach_the_scan(spark):
     plan = registry.QUERIES["termlist_range_numeric"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<p_size:int>" in plan
+
+
+def test_entry_without_the_training_data_package(monkeypatch):
+    import __spark_entry__ as e
+
+    monkeypatch.setattr(e.importlib.util, "find_spec", lambda name: None)
+    assert set(e.queries()) == set(registry.QUERIES) and set(e.oracle_sql()) == set(registry.ORACLES)
