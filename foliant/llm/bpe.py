@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.session import table
+from foliant.llm.session import small_batches, table
 from foliant.llm.text import ragged, raw, slices
 from foliant.llm.vocabulary import PATTERN, Cuts, default_path, ranks
 
@@ -96,6 +96,7 @@ def _equal(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) ->
 def encoded(text: Column, path: str | None = None, pattern: bool = True) -> Column:
     """Struct of ``token_ids``, ``n_tokens`` and ``round_trip`` (whether decoding gives the text back)."""
     path = path or default_path()
+    small_batches()
 
     @F.arrow_udf(_ENCODED)
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -120,6 +121,7 @@ def encoded(text: Column, path: str | None = None, pattern: bool = True) -> Colu
 def decoded(token_ids: Column, path: str | None = None) -> Column:
     """The text that a list of identifiers stands for; bytes that aren't UTF-8 become U+FFFD."""
     path = path or default_path()
+    small_batches()
 
     @F.arrow_udf(T.StringType())
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm.line_dedup import text_hash
-from foliant.llm.session import cut, table
+from foliant.llm.session import cut, small_batches, table
 from foliant.llm.text import mix, ragged, slices, words
 
 #: Places of a stretch of words that a mask hashes.
@@ -167,6 +167,7 @@ def _is_local(benchmark: DataFrame, text: str, most: int) -> bool:
 
 
 def _broadcast(benchmark: DataFrame, item_id: str, text: str):
+    small_batches()
     rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).toArrow().combine_chunks()
     texts = rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string())
     return rows["item_id"].to_pylist(), benchmark.sparkSession.sparkContext.broadcast(Index.of(texts))

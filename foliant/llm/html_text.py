@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.session import table
+from foliant.llm.session import small_batches, table
 
 LEAST_BASE = 0.05
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>", re.DOTALL)
@@ -207,6 +207,7 @@ def extracted(pages: pa.Array) -> pa.Array:
 
 def extract(df: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The columns ``keep``, and ``text``; one row per row of ``df``."""
+    small_batches()
     return df.select(*keep, extracted(F.col(page)).alias("text"))
 
 

@@ -27,9 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and safe from lost executors."""
     shared_dir(df.sparkSession)
+    small_batches()
     return df.checkpoint(eager=True)
 
 
+#: Most bytes of an Arrow batch to a Python worker; Spark's own bound of 64 MB, held in both processes and for every
+#: task of an executor, is too much beside a full heap.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches() -> None:
+    """Lowers the session's bound of Arrow batches to ``BATCH_BYTES``, unless it is lower."""
+    spark = SparkSession.active()
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)))
+    if bound > BATCH_BYTES or bound <= 0:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or a variant of it that no column of ``df`` has (column names ignore case)."""
     taken = {c.lower() for c in df.columns}

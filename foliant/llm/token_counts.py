@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.session import table
+from foliant.llm.session import small_batches, table
 from foliant.llm.text import slices
 from foliant.llm.vocabulary import PATTERN, Cuts, default_path, ranks
 
@@ -116,6 +116,7 @@ def counter(path: str) -> Counter:
 def token_count(text: Column, path: str | None = None) -> Column:
     """Number of tokens of a text under the rank file at ``path``."""
     path = path or default_path()
+    small_batches()
 
     @F.arrow_udf(T.LongType())
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.session import cut, table
+from foliant.llm.session import cut, small_batches, table
 from foliant.llm.text import ragged, slices, words
 
 #: Most documents of the sample that the classifiers are fitted on.
@@ -206,6 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def toxicity(text: Column, model: Model, spark: SparkSession) -> Column:
     """Probability that a text is toxic; 0 for one without a word."""
     shared = spark.sparkContext.broadcast(model)
+    small_batches()
 
     @F.arrow_udf(T.DoubleType())
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
