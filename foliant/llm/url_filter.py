@@ -1,10 +1,10 @@
 """URL filters from a path-template tree per host.
 
 A URL's path, with digit runs and long hexadecimal runs generalised, is a branch of its host's tree.  Level by
-level, two things happen to the children of each node.  Where they are many and most are rare
-(``MANY`` or more, fewer than ``RARE`` URLs each on average), the segment is variable and all become the wildcard
-``*``.  Otherwise children whose labels don't differ from the node's as a whole, by a test of proportions at
-``ALIKE`` standard deviations, are merged into ``*``; a child that does differ stays a branch of its own.
+level, two things happen to the children of each node.  Where many are rare (``MANY`` or more of fewer than ``RARE``
+URLs each), the segment is variable and the rare ones become the wildcard ``*``; so few URLs can't be tested one by
+one.  Any other child is judged by its own labels: if they don't differ from the node's as a whole, by a test of
+proportions at ``ALIKE`` standard deviations, it is merged into ``*``, else it stays a branch of its own.
 Each branch that remains is a template.  Its share of bad labels is smoothed towards that of all labelled URLs
 with the weight of ``PRIOR`` URLs, and templates from ``REJECT`` on are rejected with all their URLs.
 
@@ -54,12 +54,12 @@ def templates(paths: DataFrame) -> DataFrame:
         before = ["host", *[f"t{j}" for j in range(1, k)]]
         own = f"t{k}"
         child = rows.where(F.col(own) != "").groupBy(*before, own).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
-        node = child.groupBy(*before).agg(F.count("*").alias("kids"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")])
+        node = child.groupBy(*before).agg(F.count("*").alias("kids"), F.count_if(F.col("n") < RARE).alias("rare"), *[F.sum(c).alias(f"all_{c}") for c in ("labelled", "bad")])
         both = child.join(node, before)
         share = F.when(F.col("all_labelled") > 0, F.col("all_bad") / F.col("all_labelled")).otherwise(F.lit(0.0))
         off = F.col("bad") - F.col("labelled") * share
         alike = off * off <= F.lit(ALIKE * ALIKE) * F.col("labelled") * share * (1 - share)
-        wild = (F.col("kids") >= MANY) & (F.col("all_n") < RARE * F.col("kids")) | (F.col("kids") > 1) & alike
+        wild = (F.col("rare") >= MANY) & (F.col("n") < RARE) | (F.col("kids") > 1) & alike
         merged = both.where(wild).select(*before, own, F.lit(True).alias("wild"))
         rows = cut(rows.join(merged, [*before, own], "left").withColumn(own, F.when(F.col("wild"), "*").otherwise(F.col(own))).drop("wild"))
     return rows

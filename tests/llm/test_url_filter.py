@@ -33,6 +33,15 @@ def test_similar_branches_become_one(spark):
     assert {r.template for r in got.values()} == {"/*/{n}"} and {r.n_urls for r in got.values()} == {60} and {r.n_bad for r in got.values()} == {15}
 
 
+def test_a_hot_child_among_many_rare_ones_is_judged_alone(spark):
+    for casino_bad in (1, 0):
+        rows = [_row(i, f"http://h.example/{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100]}/{i}", 1 - casino_bad if i < 300 else None) for i in range(1000)]
+        rows += [_row(i, f"http://h.example/casino/{i}", casino_bad if i < 1200 else None) for i in range(1000, 2500)]
+        got = _judged(spark, rows)
+        assert {got[i].template for i in range(1000)} == {"/*/{n}"} and {got[i].template for i in range(1000, 2500)} == {"/casino/{n}"}
+        assert {got[i].rejected for i in range(1000)} == {not casino_bad} and {got[i].rejected for i in range(1000, 2500)} == {bool(casino_bad)}
+
+
 def test_segments(spark):
     urls = [("http://h/a//b/", ["a", "b", "", "", "", ""]), ("http://h/1/2/3/4/5/6/7?x", ["{n}"] * 5 + ["{n}/{n}"]), ("http://h", [""] * 6), ("http://h/x12-0123456789abcdef01.html#y", ["x{n}{x}.html"] + [""] * 5), (None, [""] * 6), ("", [""] * 6)]
     df = spark.createDataFrame([(u,) for u, _ in urls], "u string").select(*uf.segments_of(F.col("u")))
