@@ -1,29 +1,31 @@
 """URL filters from a path-template tree per host.
 
-A URL's path, with digit runs and long hexadecimal runs generalised, is a branch of its host's tree.  Level by
-level, two things happen to the children of each node.  Where many are rare (``MANY`` or more of fewer than ``RARE``
-URLs each), the segment is variable and the rare ones become the wildcard ``*``; so few URLs can't be tested one by
-one.  Any other child is judged by its own labels: if they don't differ from the node's as a whole, by a test of
+A URL's path, with digit runs and long hexadecimal runs generalised, is a branch of its host's tree, down to its
+last segment.  From fork to fork, two things happen to the children of each node.  Where many are rare (``MANY`` or
+more of fewer than ``RARE`` URLs each), the segment is variable and the rare ones become the wildcard ``*``; so few
+URLs can't be tested one by one.  Any other child is judged by its own labels: if they don't differ from the node's as a whole, by a test of
 proportions at ``ALIKE`` standard deviations, it is merged into ``*``, else it stays a branch of its own.
 Each branch that remains is a template.  Its share of bad labels is smoothed towards that of all labelled URLs
 with the weight of ``PRIOR`` URLs, and templates from ``REJECT`` on are rejected with all their URLs.
 
-The levels work on distinct generalised paths, not on URLs; each is an aggregation and an equi-join.
+The rounds work on distinct generalised paths, not on URLs; each is a few aggregations and equi-joins.
 
 Results for odd inputs: the host is compared in lower case, without user and port; query and fragment don't
-count, nor do empty segments; segments from the sixth on are one; a null URL, or one without a scheme and host,
-has the host ``''`` and is never rejected; a null label says nothing; a template without labels has the overall
+count, nor do empty segments; a null URL, or one without a scheme and host, has the host ``''`` and is never rejected; a null label says nothing; a template without labels has the overall
 share; without any labels nothing is rejected; repeated rows count and are reported each; an empty table gives
 an empty result; other columns of the table can have any name.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.session import cut, free_name, table
 
+#: Levels of the SQL's tree; it takes segments from the last of them on as one.
 LEVELS = 6
 MANY, RARE = 10, 3
 ALIKE = 2.0
@@ -38,31 +40,60 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.regexp_replace(rough, "^.*@", ""), ":[0-9]*$", ""), F.lit(""))
 
 
-def segments_of(url: Column) -> list[Column]:
-    """The ``LEVELS`` segments of the generalised path, ``''`` where there are fewer."""
+def path_of(url: Column) -> Column:
+    """The generalised path: segments with a slash between each two."""
     path = F.regexp_replace(F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""), r"[?#][\s\S]*$", "")
     path = F.regexp_replace(F.regexp_replace(path, "[0-9a-fA-F-]{16,}", "{x}"), "[0-9]+", "{n}")
     path = F.regexp_replace(F.regexp_replace(path, "/+", "/"), "^/|/$", "")
-    parts = F.split(F.coalesce(path, F.lit("")), "/", LEVELS)
+    return F.coalesce(path, F.lit(""))
+
+
+def segments_of(url: Column) -> list[Column]:
+    """The first ``LEVELS`` segments as the SQL has them, the last with all that follow, ``''`` where there are fewer."""
+    parts = F.split(path_of(url), "/", LEVELS)
     return [F.coalesce(F.get(parts, k), F.lit("")).alias(name) for k, name in enumerate(_SEGMENTS)]
 
 
+def _fork(rest: Column, longest: Column) -> Column:
+    """The first place (from 1) where ``rest`` has another segment than ``longest``, null where it is the beginning of it."""
+    return F.nullif(F.array_position(F.zip_with(rest, longest, lambda x, y: F.coalesce(x != y, F.lit(False))), True).cast("int"), F.lit(0))
+
+
+def _joined(node: Column, segments: Column) -> Column:
+    return F.concat(node, F.array_join(F.transform(segments, lambda x: F.concat(F.lit("/"), x)), ""))
+
+
 def templates(paths: DataFrame) -> DataFrame:
-    """Rows ``host, s1..s6, n, labelled, bad`` with the current segments ``t1..t6`` after merging."""
-    rows = paths.select("*", *[F.col(s).alias(s.replace("s", "t")) for s in _SEGMENTS])
-    for k in range(1, LEVELS + 1):
-        before = ["host", *[f"t{j}" for j in range(1, k)]]
-        own = f"t{k}"
-        child = rows.where(F.col(own) != "").groupBy(*before, own).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
-        node = child.groupBy(*before).agg(F.count("*").alias("kids"), F.count_if(F.col("n") < RARE).alias("rare"), *[F.sum(c).alias(f"all_{c}") for c in ("labelled", "bad")])
-        both = child.join(node, before)
+    """Rows ``host, path, n, labelled, bad`` with the ``template`` after merging.
+
+    ``node`` is what is settled of a path, ``rest`` what is not.  A round takes every node down to its next fork and
+    merges the children there; paths that don't fork any more are done.  So the rounds are as many as the forks
+    on one branch, however many segments it has.
+    """
+    counts = ("n", "labelled", "bad")
+    own, node = "own", ["host", "node"]
+    rows = cut(paths.select("host", "path", *counts, F.lit("").alias("node"), F.filter(F.split("path", "/"), lambda x: x != "").alias("rest")))
+    done = []
+    while True:
+        longest = rows.groupBy(*node).agg(F.max_by("rest", F.size("rest")).alias("longest"))
+        forks = rows.join(longest, node).groupBy(*node).agg(F.min(_fork(F.col("rest"), F.col("longest"))).alias("fork"))
+        rows = cut(rows.join(forks, node))
+        open_ = F.coalesce(F.size("rest") >= F.col("fork"), F.lit(False))
+        done.append(rows.where(~open_).select("host", "path", *counts, _joined(F.col("node"), F.col("rest")).alias("template")))
+        rows = rows.where(open_).select("host", "path", *counts, _joined(F.col("node"), F.slice("rest", 1, F.col("fork") - 1)).alias("node"), F.element_at("rest", F.col("fork")).alias(own), F.slice("rest", F.col("fork") + 1, F.size("rest")).alias("rest"))
+        if rows.isEmpty():
+            break
+        child = rows.groupBy(*node, own).agg(*[F.sum(c).alias(c) for c in counts])
+        all_ = child.groupBy(*node).agg(F.count("*").alias("kids"), F.count_if(F.col("n") < RARE).alias("rare"), *[F.sum(c).alias(f"all_{c}") for c in ("labelled", "bad")])
+        both = child.join(all_, node)
         share = F.when(F.col("all_labelled") > 0, F.col("all_bad") / F.col("all_labelled")).otherwise(F.lit(0.0))
         off = F.col("bad") - F.col("labelled") * share
         alike = off * off <= F.lit(ALIKE * ALIKE) * F.col("labelled") * share * (1 - share)
         wild = (F.col("rare") >= MANY) & (F.col("n") < RARE) | (F.col("kids") > 1) & alike
-        merged = both.where(wild).select(*before, own, F.lit(True).alias("wild"))
-        rows = cut(rows.join(merged, [*before, own], "left").withColumn(own, F.when(F.col("wild"), "*").otherwise(F.col(own))).drop("wild"))
-    return rows
+        merged = both.where(wild).select(*node, own, F.lit(True).alias("wild"))
+        found = F.concat("node", F.lit("/"), F.when(F.col("wild"), "*").otherwise(F.col(own)))
+        rows = cut(rows.join(merged, [*node, own], "left").select("host", "path", *counts, found.alias("node"), "rest"))
+    return reduce(DataFrame.unionAll, done).withColumn("template", F.when(F.col("template") == "", "/").otherwise(F.col("template")))
 
 
 def judge(df: DataFrame, bad: str, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -72,18 +103,16 @@ def judge(df: DataFrame, bad: str, url: str = "url", keep: tuple[str, ...] = ("p
     """
     label = F.col(bad).cast("int")
     named = {c: free_name(df, f"__keep{i}") for i, c in enumerate(keep)}
-    rows = df.select(*[F.col(c).alias(n) for c, n in named.items()], host_of(F.col(url)).alias("host"), *segments_of(F.col(url)), label.alias("bad"))
-    paths = rows.groupBy("host", *_SEGMENTS).agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    found = templates(cut(paths))
+    rows = df.select(*[F.col(c).alias(n) for c, n in named.items()], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), label.alias("bad"))
+    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    found = templates(paths)
     totals = found.agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).head()
     overall = totals.b / totals.l if totals.l else 0.0
-    current = [s.replace("s", "t") for s in _SEGMENTS]
-    per = found.groupBy("host", *current).agg(*[F.sum(c).alias(o) for c, o in (("n", "n_urls"), ("labelled", "n_labelled"), ("bad", "n_bad"))])
+    per = found.groupBy("host", "template").agg(*[F.sum(c).alias(o) for c, o in (("n", "n_urls"), ("labelled", "n_labelled"), ("bad", "n_bad"))])
     share = (F.col("n_bad") + PRIOR * overall) / (F.col("n_labelled") + PRIOR)
     per = per.withColumn("bad_share", F.round(share, 6)).withColumn("rejected", (F.col("bad_share") >= REJECT) & (F.col("host") != "") & F.lit(bool(totals.l)))
-    template = F.concat(F.lit("/"), F.array_join(F.filter(F.array(*current), lambda x: x != ""), "/"))
-    mapped = cut(found.join(per, ["host", *current]).select("host", *_SEGMENTS, template.alias("template"), "n_urls", "n_labelled", "n_bad", "bad_share", "rejected"))
-    out = rows.drop("bad").join(mapped, ["host", *_SEGMENTS])
+    mapped = cut(found.select("host", "path", "template").join(per, ["host", "template"]))
+    out = rows.drop("bad").join(mapped, ["host", "path"])
     return out.select(*[F.col(n).alias(c) for c, n in named.items()], "host", "template", "n_urls", "n_labelled", "n_bad", "bad_share", "rejected")
 
 

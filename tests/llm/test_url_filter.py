@@ -42,6 +42,20 @@ def test_a_hot_child_among_many_rare_ones_is_judged_alone(spark):
         assert {got[i].rejected for i in range(1000)} == {not casino_bad} and {got[i].rejected for i in range(1000, 2500)} == {bool(casino_bad)}
 
 
+def test_branches_below_many_levels(spark):
+    def slug(i):
+        return "abcdefghij"[i % 10] + "klmnopqrst"[i // 10]
+
+    rows = [_row(2 * i + k, f"http://h.example/y/m/d/cat/sub/{slug(i)}/{('story', 'comments')[k]}", k) for i in range(40) for k in (0, 1)]
+    rows += [_row(100 + i, f"http://trap.example/{'a/' * (i + 1)}{slug(i)}/{'bc'[i % 2]}", None) for i in range(4)]
+    rows += [_row(200 + i, "http://chain.example/" + "a/" * i, 0) for i in range(300)]
+    got = _judged(spark, rows)
+    assert {got[2 * i].template for i in range(40)} == {"/y/m/d/cat/sub/*/story"} and not any(got[2 * i].rejected for i in range(40))
+    assert {got[2 * i + 1].template for i in range(40)} == {"/y/m/d/cat/sub/*/comments"} and all(got[2 * i + 1].rejected for i in range(40))
+    assert got[103].template == "/a/*/*/*/*/c" and got[100].template == "/a/*/*"
+    assert all(got[200 + i].template == "/" + "/".join("a" * i) for i in range(300))
+
+
 def test_segments(spark):
     urls = [("http://h/a//b/", ["a", "b", "", "", "", ""]), ("http://h/1/2/3/4/5/6/7?x", ["{n}"] * 5 + ["{n}/{n}"]), ("http://h", [""] * 6), ("http://h/x12-0123456789abcdef01.html#y", ["x{n}{x}.html"] + [""] * 5), (None, [""] * 6), ("", [""] * 6)]
     df = spark.createDataFrame([(u,) for u, _ in urls], "u string").select(*uf.segments_of(F.col("u")))
