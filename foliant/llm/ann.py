@@ -107,28 +107,46 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return flat.reshape(len(lists), -1).astype(np.float64) if len(lists) else np.zeros((0, 1))
 
 
+#: Pairs whose differences are taken at once.
+_PAIRS = 1 << 16
+
+
+def _distances(p: np.ndarray, y: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Norms of the differences of rows ``r`` and ``c``; copies have equal ones to the last bit."""
+    parts = [np.sqrt(((p[r[lo : lo + _PAIRS]] - y[c[lo : lo + _PAIRS]]) ** 2).sum(1)) for lo in range(0, len(r), _PAIRS)]
+    return np.concatenate([np.zeros(0), *parts])
+
+
 def nearest(q: np.ndarray, q_id: np.ndarray, bound: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Up to k of ``x`` for each query, not itself and not beyond its bound: query, id, distance."""
+    """Up to k of ``x`` for each query, not itself and not beyond its bound: query, id, distance.
+
+    The products of a block only say which pairs can be among the nearest; all of those, ties too, are ranked by
+    their exact distance and id.
+    """
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     xx = (x * x).sum(1)
     for lo in range(0, len(q), 256):
-        part = q[lo : lo + 256]
-        best_d, best_i = np.full((len(part), 0), np.inf), np.zeros((len(part), 0), np.int64)
+        part, limit = q[lo : lo + 256], bound[lo : lo + 256] * (1 + 1e-9) + 1e-9
+        pp = (part * part).sum(1)
+        best_r, best_i, best_d = out[0]
         for at in range(0, len(x), 8192):
-            y = x[at : at + 8192]
-            d = (part * part).sum(1)[:, None] + xx[None, at : at + 8192] - 2 * part @ y.T
-            d[q_id[lo : lo + 256, None] == x_id[None, at : at + 8192]] = np.inf
-            i = np.broadcast_to(x_id[at : at + 8192], d.shape)
-            if d.shape[1] > 2 * k:  # a few more than k, so that no tie or rounding loses any
-                top = np.argpartition(d, k + 4, axis=1)[:, : k + 5]
-                d, i = np.take_along_axis(d, top, 1), np.take_along_axis(i, top, 1)
-            best_d, best_i = np.concatenate([best_d, d], 1), np.concatenate([best_i, i], 1)
-        order = np.lexsort((best_i, best_d), axis=1)[:, :k]
-        d, i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
-        d = np.sqrt(np.maximum(d, 0))
-        r, c = np.nonzero(d <= bound[lo : lo + 256, None] * (1 + 1e-9) + 1e-9)
-        finite = np.isfinite(d[r, c])
-        out.append((r[finite] + lo, i[r, c][finite], d[r, c][finite]))
+            y, y_id, yy = x[at : at + 8192], x_id[at : at + 8192], xx[at : at + 8192]
+            d = pp[:, None] + yy[None] - 2 * part @ y.T
+            d[q_id[lo : lo + 256, None] == y_id[None]] = np.inf
+            most = limit * limit
+            if d.shape[1] > k:
+                most = np.minimum(most, np.partition(d, k - 1, axis=1)[:, k - 1])
+            rounding = 8 * (x.shape[1] + 4) * np.finfo(float).eps * (pp + yy.max())
+            r, c = np.nonzero((d <= (most + rounding)[:, None]) & (d < np.inf))
+            best_r, best_i, best_d = np.concatenate([best_r, r]), np.concatenate([best_i, y_id[c]]), np.concatenate([best_d, _distances(part, y, r, c)])
+            order = np.lexsort((best_i, best_d, best_r))
+            best_r, best_i, best_d = best_r[order], best_i[order], best_d[order]
+            few = np.arange(len(best_r)) - np.searchsorted(best_r, best_r) < k
+            best_r, best_i, best_d = best_r[few], best_i[few], best_d[few]
+            full = np.flatnonzero(np.bincount(best_r, minlength=len(part)) == k)  # nothing beyond their k-th from here on
+            limit[full] = np.minimum(limit[full], best_d[np.searchsorted(best_r, full, "right") - 1])
+        near = best_d <= bound[lo + best_r] * (1 + 1e-9) + 1e-9
+        out.append((best_r[near] + lo, best_i[near], best_d[near]))
     return tuple(np.concatenate(z) for z in zip(*out))
 
 
@@ -227,7 +245,6 @@ def neighbours(df: DataFrame, k: int = NEIGHBOURS, vec_id: str = "vec_id", embed
     def merged(found: DataFrame) -> DataFrame:
         every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("found"))))
         one_each = found.groupBy("vec_id").agg(every.alias("found"))
-        # an id has one distance, but sums in different blocks may round it differently
         return one_each.select("vec_id", F.slice(_unique("found"), 1, k).alias("found"))
 
     best = cut(merged(first))

@@ -56,6 +56,34 @@ def test_perturbations_come_by_chance_and_add_up():
         assert sum(chance) >= 0.8 - 1e-4 and sum(chance[:-1]) < 0.8 + 1e-4
 
 
+def test_copies_come_by_id(spark):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(3, 16)) * 9, 40, axis=0)
+    ids = rng.permutation(len(x)) * 7
+    of = {int(i): r // 40 for r, i in enumerate(ids)}
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.neighbours(df, 10).collect():
+        assert r.distance == 0
+        got.setdefault(r.vec_id, []).append((r.rank, r.neighbour_id))
+    for i, group in of.items():
+        assert sorted(got[i]) == list(enumerate(sorted(j for j, g in of.items() if g == group and j != i)[:10], 1))
+
+
+def test_ties_across_blocks():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20000, 4)) * 3 + 20
+    x[rng.choice(20000, 300, replace=False)] = x[0] + [1, 0, 0, 0]
+    ids, q = rng.permutation(20000), np.concatenate([x[:1], x[5:300]])
+    q_id, bound = np.concatenate([ids[:1], ids[5:300]]), np.where(np.arange(296) % 2, np.inf, 1.5)
+    got = [[] for _ in q]
+    for r, i, d in zip(*ann.nearest(q, q_id, bound, x, ids, 10)):
+        got[r].append((d, i))
+    for r in range(len(q)):
+        d = np.sqrt(((q[r] - x) ** 2).sum(1))
+        assert got[r] == [(d[c], ids[c]) for c in np.lexsort((ids, d)) if ids[c] != q_id[r] and d[c] <= bound[r]][:10]
+
+
 def test_odd_rows(spark):
     rows = [(1, [0.0, 0.0], "a"), (2, [0.0, 1.0], "b"), (3, [0.0, 1.0], "b"), (3, [0.0, 1.0], "b"), (4, [0.0, 3.0], None), (None, [0.0, 0.0], "n"), (5, None, "n"), (6, [], "n"), (7, [float("nan"), 1.0], "n"), (8, [1.0, 2.0, 3.0], "n"), (9, [None, 1.0], "n"), (10, [float("inf"), 1.0], "n")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, key string").selectExpr("*", "1 as found", "2 as home", "3 as distance")
