@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     n, yes = by_doc.agg(F.count("*"), F.coalesce(F.sum("yes"), F.lit(0))).head()
     if not yes:
         return Model(None)
-    prior = prior if prior is not None else min(0.5, yes / n) if yes < n else PRIOR
+    prior = prior if prior is not None else yes / n if yes < n else PRIOR
     pool = by_doc
     if yes == n:  # only confirmed ones are listed: any document may stand for unlabelled text
         pool = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id")).distinct()

@@ -64,6 +64,19 @@ def test_only_confirmed_ones_listed(planted):
     assert len(out & bad) >= 0.9 * len(bad) and len(out - bad) <= 15
 
 
+def test_the_prior_is_the_share_of_confirmed_ones(planted, monkeypatch):
+    docs, labels = planted
+    priors, fit = [], tox.fit
+    monkeypatch.setattr(tox, "fit", lambda p, u, prior, *rest: priors.append(prior) or fit(p, u, prior, *rest))
+    bad = labels.where("toxic = 1")
+    mostly = bad.unionByName(labels.where("toxic is null or toxic = 0").limit(20))
+    model = tox.train(docs.drop("bad"), mostly)
+    n = bad.count()
+    assert n > 80 and priors == [n / (n + 20)] * tox.CLASSIFIERS
+    confirmed = {r.doc_id for r in bad.collect()}
+    assert len(confirmed & {r.doc_id for r in tox.rejected(docs, model).collect()}) >= 0.95 * n
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
 def test_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
