@@ -6,6 +6,8 @@ as grouped hexadecimal, never an error.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,13 +69,54 @@ def from_sortable_long(value: Column) -> Column:
     return F.when(F.octet_length(value) == 8, (unsigned - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long"))
 
 
+def _numbers(value: Column, width: int) -> Column:
+    """The numbers of sortable bytes, ``width`` bytes each; null where the length doesn't fit."""
+    n = (F.octet_length(value) / width).cast("int")
+    flipped = F.lit(str(1 << 8 * width - 1)).cast("decimal(20,0)")
+    one = lambda i: (F.conv(F.hex(value.substr(i * width + 1, F.lit(width))), 16, 10).cast("decimal(20,0)") - flipped).cast("long")
+    return F.when((n > 0) & (F.octet_length(value) == n * width), F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), one))
+
+
+def _floating(kind: type, bits: type, out: T.DataType):
+    @F.arrow_udf(T.ArrayType(out))
+    def run(numbers: pa.Array) -> pa.Array:
+        x = numbers.flatten().to_numpy(zero_copy_only=False).astype(bits)
+        x = x ^ (x >> (8 * x.itemsize - 1)) & np.iinfo(bits).max
+        ends = np.concatenate([[0], np.cumsum(numbers.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(x.view(kind)), mask=numbers.is_null())
+
+    return run
+
+
+def _date(ms: Column) -> Column:
+    """A date of years 0 to 9999 in UTC; null beyond."""
+    fine = F.when(ms.between(-62167219200000, 253402300799999), ms)
+    days, left = F.floor(fine / 86400000.0).cast("int"), F.pmod(fine, F.lit(86400000))
+    at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days, F.lit(0), F.lit(0), (left / 1000).cast("decimal(18,6)"))
+    return show(at, "date")
+
+
 def decoded(value: Column, mapping: str) -> Column:
-    """Text of indexed bytes: text and long are decoded, anything else, or what doesn't decode, is hexadecimal."""
-    if SQL_TYPES.get(mapping) == "string":
+    """Text of indexed bytes, several values with commas between; other types, or what doesn't decode, are hexadecimal."""
+    kind = SQL_TYPES.get(mapping)
+    if kind == "string":
         return F.coalesce(F.try_validate_utf8(value.cast("string")), grouped_hex(value))
-    if SQL_TYPES.get(mapping) == "bigint":
-        return F.coalesce(from_sortable_long(value).cast("string"), grouped_hex(value))
     if mapping in ("bool", "boolean"):
         letters = F.regexp_replace(F.regexp_replace(value.cast("string"), "T", "true,"), "F", "false,")
         return F.when(value.cast("string").rlike("^[TF]+$"), F.rtrim(letters, F.lit(","))).otherwise(grouped_hex(value))
-    return grouped_hex(value)
+    if kind in ("bigint", "int", "smallint", "tinyint"):
+        texts = F.transform(_numbers(value, 8 if kind == "bigint" else 4), lambda x: x.cast("string"))
+    elif kind == "float":
+        texts = _floating(np.float32, np.int32, T.FloatType())(_numbers(value, 4)).cast("array<string>")
+    elif kind == "double":
+        texts = _floating(np.float64, np.int64, T.DoubleType())(_numbers(value, 8)).cast("array<string>")
+    elif mapping == "date":
+        texts = F.transform(_numbers(value, 8), _date)
+        texts = F.when(F.forall(texts, lambda x: x.isNotNull()), texts)
+    elif mapping == "geo_point":
+        halves = F.when(F.octet_length(value) % 8 == 0, _numbers(value, 4))
+        pair = lambda i: F.format_string("%f; %f", F.get(halves, 2 * i) * (180.0 / (1 << 32)), F.get(halves, 2 * i + 1) * (360.0 / (1 << 32)))
+        texts = F.when(halves.isNotNull(), F.transform(F.sequence(F.lit(0), (F.greatest(F.size(halves), F.lit(2)) / 2).cast("int") - 1), pair))
+    else:
+        return grouped_hex(value)
+    return F.coalesce(F.array_join(texts, ","), grouped_hex(value))

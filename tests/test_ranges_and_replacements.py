@@ -94,3 +94,12 @@ def test_typed_values(spark):
         parse("1", "geo_point")
     order = spark.createDataFrame([(v,) for v in (3, -1, 0, -(1 << 63), (1 << 63) - 1)], "v long").orderBy(sortable_long(F.col("v")))
     assert [r.v for r in order.collect()] == [-(1 << 63), -1, 0, 3, (1 << 63) - 1]
+
+
+def test_indexed_bytes_of_every_type(spark):
+    cases = [("integer", "7FFFFFFF", "-1"), ("short", "80000005", "5"), ("byte", "8000000580000006", "5,6"), ("long", "8000000000000007", "7"), ("float", "BFC00000", "1.5"), ("float", "403FFFFF", "-1.5"),
+             ("double", "BFF8000000000000", "1.5"), ("date", "80000000000003E9", "1970-01-01T00:00:01.001Z"), ("date", "7FFFFFFFFFFFFFFF", "1969-12-31T23:59:59.999Z"), ("geo_point", "C0000000C0000000", "45.000000; 90.000000")]
+    for mapping, code, wanted in cases:
+        df = spark.createDataFrame([(bytes.fromhex(code),), (bytes.fromhex(code[:6]),), (None,)], "x binary")
+        got = [r[0] for r in df.select(decoded(F.col("x"), mapping)).collect()]
+        assert got[0] == wanted and got[1].replace(" ", "").upper() == f"[{code[:6]}]" and got[2] is None, (mapping, got)
