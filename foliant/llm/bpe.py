@@ -3,13 +3,14 @@
 Pairs of bytes that occur inside no vocabulary token mark places that no token can span.  A text is
 cut at all of them, each distinct fragment of a batch is encoded once and on its own, and the
 fragments' identifiers are put together again by index arithmetic.  The result equals the encoding
-of the whole text.  Decoding gathers the tokens' bytes.
+of the whole text.  Decoding gathers the tokens' bytes.  The library's own splitting keeps a stack frame for
+every blank of a run, so fragments beyond ``LONG_BYTES`` are split here and only their parts are merged there.
 
 Results for odd inputs: a null text has null identifiers, a null count and a null ``round_trip``; an
-empty one has an empty list and 0; texts of any length are encoded whole (a text without a single
-cut is one fragment); special tokens' strings in a text are ordinary text; repeated rows and ties get
-equal results; an empty table gives an empty result; only the named columns are read, so other
-columns can have any name.
+empty one has an empty list and 0; texts of any length are encoded whole, those without a single cut (one
+fragment) and runs of millions of blanks among them; special tokens' strings in a text are ordinary text; repeated rows
+and ties get equal results; an empty table gives an empty result; only the named columns are read; a kept
+column named like one of the result gets an underscore behind its name.
 """
 
 from __future__ import annotations
@@ -20,16 +21,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.session import small_batches, table
+from foliant.llm.session import free_name, kept, small_batches, table
 from foliant.llm.text import ragged, raw, slices
 from foliant.llm.vocabulary import PATTERN, Cuts, default_path, ranks
 
 #: Bytes of text of which the fragments are found, made distinct and encoded at once.
 SLICE_BYTES = 4 << 20
+#: Longer fragments are split into parts before the library sees them.
+LONG_BYTES = 1 << 14
 
 
 class Codec:
@@ -41,6 +45,7 @@ class Codec:
         table_ = ranks(path)
         self.cuts = Cuts(table_, pattern)
         self.pattern = pattern
+        self.split = regex.compile(PATTERN).findall
         self.core = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table_, special_tokens={})
         tokens = [b""] * (max(table_.values()) + 1)
         for token, rank in table_.items():
@@ -54,9 +59,12 @@ class Codec:
         if not self.pattern:
             return self.core._encode_single_piece(piece)
         try:
-            return self.core.encode_ordinary(piece.decode())
-        except UnicodeDecodeError:
-            return self.core._encode_bytes(piece)
+            if len(piece) <= LONG_BYTES:
+                return self.core.encode_ordinary(piece.decode())
+        except UnicodeDecodeError:  # bytes that aren't UTF-8 are split here as well
+            pass
+        parts = self.split(piece.decode("utf-8", "surrogateescape"))
+        return list(chain.from_iterable(self.core._encode_single_piece(part.encode("utf-8", "surrogateescape")) for part in parts))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Identifiers of all texts, and ``len + 1`` offsets; a null has none."""
@@ -138,15 +146,19 @@ def decoded(token_ids: Column, path: str | None = None) -> Column:
     return run(token_ids)
 
 
+_MADE = "token_ids", "n_tokens", "round_trip"
+
+
 def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, pattern: bool = True) -> DataFrame:
     """The columns ``keep`` and ``token_ids``, ``n_tokens``, ``round_trip``, one row per row of ``df``."""
-    both = df.select(*[F.col(k) for k in keep], encoded(F.col(text), path, pattern).alias("__encoded"))
-    return both.select(*keep, "__encoded.token_ids", "__encoded.n_tokens", "__encoded.round_trip")
+    both = df.select(*kept(df, keep, _MADE), encoded(F.col(text), path, pattern).alias(free_name(df, "__encoded")))
+    *names, made = both.columns
+    return both.select(*[F.col(f"`{c}`") for c in names], *[F.col(made)[c].alias(c) for c in _MADE])
 
 
 def decode(df: DataFrame, token_ids: str = "token_ids", keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
     """The columns ``keep`` and ``text``."""
-    return df.select(*keep, decoded(F.col(token_ids), path).alias("text"))
+    return df.select(*kept(df, keep, ("text",)), decoded(F.col(token_ids), path).alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

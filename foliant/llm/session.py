@@ -1,10 +1,12 @@
-"""Session helpers: tables of a folder, and the shared folder that cuts lineage."""
+"""Session helpers: tables of a folder, the shared folder that cuts lineage, names and ids of rows."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,3 +53,25 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def kept(df: DataFrame, keep: tuple[str, ...], made: tuple[str, ...]) -> list[Column]:
+    """The columns ``keep``; one named like a column that the operator makes (``made``) gets underscores behind its name."""
+    taken = {m.lower() for m in made}
+    out = []
+    for c in keep:
+        name = c
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(F.col(f"`{c}`").alias(name))
+    return out
+
+
+def has_integers(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.IntegralType)
+
+
+def numbered(keys: DataFrame, number: str) -> DataFrame:
+    """Distinct rows of ``keys`` with an integer that grows with them: by range partitions, not in one place."""
+    return cut(cut(keys.distinct()).orderBy(*keys.columns).withColumn(number, F.monotonically_increasing_id()))

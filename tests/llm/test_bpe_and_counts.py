@@ -103,3 +103,44 @@ def test_odd_rows(spark, odd, empty, codec):
 def test_repeats_are_equal(odd):
     same = bpe.encode(odd).where("doc_id = 5").select(F.to_json(F.struct("*")).alias("j")).distinct()
     assert same.count() == 1
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 300_001 + "x", "a" + "　" * 40_000 + "b", "x" * 100_000 + " " * 100_000 + "'s", "\t \n" * 50_000 + " word", "-" * 70_000 + "1" * 70_000])
+def test_long_runs_are_encoded_whole(codec, text):
+    ids, _ = codec.encode(pa.array([text]))
+    data, _ = codec.decode(ids, np.array([0, len(ids)]))
+    assert data.tobytes().decode() == text
+    assert token_counts.counter(default_path()).count(pa.array([text])).tolist() == [len(ids)]
+    # the library itself copes with a shorter run of the same kind; that is cut and split here as well
+    short = text[:3000]
+    assert list(codec.core.encode_ordinary(short)) == [i for part in codec.split(short) for i in codec.core._encode_single_piece(part.encode())]
+
+
+def test_long_blanks_in_a_table(spark):
+    df = spark.createDataFrame([(1, " " * 1_000_000), (2, "\n" * 1_000_000), (3, "a b")], "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.encode(df).collect()}
+    assert all(r.round_trip for r in got.values()) and got[3].n_tokens == 2
+    assert {r.doc_id: r.n_tokens for r in token_counts.count(df).collect()} == {i: r.n_tokens for i, r in got.items()}
+
+
+def test_many_heaps_at_once_equal_one_heap():
+    table = ranks(default_path())
+    pairs = token_counts.Pairs(table)
+    rng = random.Random(3)
+    for leaves in (16, 32):
+        pieces = [bytes(rng.choice(b"aabtheing \n\xc3\xa9") for _ in range(rng.randrange(1, leaves + 1))) for _ in range(3000)] + [b"a" * leaves, b"th" * (leaves // 2)]
+        assert token_counts.merges_of(pieces, pairs, leaves).tolist() == [token_counts.merges(p, table) for p in pieces]
+
+
+def test_kept_columns_named_like_results(odd):
+    kept = bpe.encode(odd, keep=("doc_id", "token_ids", "N_TOKENS"))
+    assert kept.columns == ["doc_id", "token_ids_", "N_TOKENS_", "token_ids", "n_tokens", "round_trip"] and kept.select("token_ids_").distinct().head()[0] == 1
+    assert token_counts.count(odd, keep=("N_TOKENS", "with.dot")).columns == ["N_TOKENS_", "with.dot", "n_tokens"]
+
+
+def test_bytes_that_are_no_text(codec):
+    data = pa.array([b"ab \xff\xfe cd\xc3", b"\x80" * 20_000], pa.binary())
+    ids, at = codec.encode(data)
+    back, ends = codec.decode(ids, at)
+    assert [back[p:q].tobytes() for p, q in zip(ends, ends[1:])] == data.to_pylist()
+    assert token_counts.counter(default_path()).count(data).tolist() == np.diff(at).tolist()
