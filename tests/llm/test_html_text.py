@@ -1,6 +1,7 @@
 import collections
 import os
 import re
+import time
 
 import pytest
 
@@ -92,3 +93,26 @@ def test_odd_rows(odd, empty, spark):
     assert sorted((r.page_id or 0, len(r.text or "")) for r in got)[1:3] == [(1, 0), (2, 0)] and [r.text for r in got if r.page_id == 1] == [None]
     assert len({r.text for r in got if r.page_id in (3, None)}) == 1
     assert ht.extract(odd, "text", ("doc_id",)).count() == odd.count() and ht.extract(empty, "text", ("doc_id",)).count() == 0
+
+
+@pytest.mark.parametrize("make", [
+    lambda k: "<a " * k, lambda k: "<div>" * k + "</b>" * k, lambda k: "<a '>'" * k + "'", lambda k: "<!" * k, lambda k: "<b>" * k + "<p></p>" * k, lambda k: "<div>" * k + "<li></li>" * k,
+    lambda k: "<div><p>text here</p></div>" * k, lambda k: "<b><table>" + "<div>" * k + "</b>" * k, lambda k: "<!--" * k, lambda k: "<b" * k + "<!", lambda k: "<div>" * k + "<body>" * k, lambda k: ">" + "<b <! " * k])
+def test_time_is_linear_in_broken_markup(make):
+    took = []
+    for k in (10_000, 40_000):
+        page = make(k)
+        began = time.process_time()
+        ht.main_text(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 and took[1] < 0.2 + 8 * took[0]  # 4 if linear, 16 if quadratic
+
+
+def test_where_tags_end():
+    for page, wanted in (("<a 'x>y' >z", 9), ("<a 'x>y", -1), ("<a \"'\" '\"' >", 11), ("<a >", 3)):
+        assert ht._Ends(page).after(2) == wanted
+
+
+def test_kept_columns_named_like_results(spark):
+    df = spark.createDataFrame([("<p>a b c</p>", "old")], "html string, Text string")
+    assert ht.extract(df, keep=("Text",)).collect() == [("old", "a b c")]
