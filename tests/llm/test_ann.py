@@ -3,6 +3,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import ann
 
@@ -93,3 +94,72 @@ def test_odd_rows(spark):
     assert {k: sorted(v) for k, v in got.items()} == {
         1: [(1, 2, 1.0), (2, 3, 1.0), (3, 4, 3.0)], 2: [(1, 3, 0.0), (2, 1, 1.0), (3, 4, 2.0)], 3: [(1, 2, 0.0), (2, 1, 1.0), (3, 4, 2.0)], 4: [(1, 2, 2.0), (2, 3, 2.0), (3, 1, 3.0)]}
     assert ann.neighbours(df.where("1 = 0")).count() == 0 and ann.neighbours(df.where("vec_id = 1")).count() == 0
+
+
+def _exact(ids, x, k, asked=None):
+    """``(query, rank, neighbour, distance)`` by comparing all, ties by id."""
+    out = {}
+    for r, i in enumerate(ids):
+        if asked is None or asked(i):
+            d = np.sqrt(((x[r] - x) ** 2).sum(1))
+            order = [c for c in sorted(range(len(ids)), key=lambda c: (d[c], ids[c])) if ids[c] != i][:k]
+            out[i] = [(n + 1, ids[c], d[c]) for n, c in enumerate(order)]
+    return out
+
+
+def _got(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.vec_id, []).append((r.rank, r.neighbour_id, r.distance))
+    return {i: sorted(v) for i, v in out.items()}
+
+
+def _same(got, wanted):
+    assert got.keys() == wanted.keys()
+    for i in wanted:
+        assert [g[:2] for g in got[i]] == [w[:2] for w in wanted[i]], i
+        assert np.allclose([g[2] for g in got[i]], [w[2] for w in wanted[i]], rtol=1e-9, atol=1e-12)
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 10])
+def test_few_neighbours_and_many_ties(spark, k):
+    # a grid of 48 different vectors, several ids each; so many hashes that every query is compared exactly
+    ids = [int(i) for i in np.random.default_rng(k).permutation(400)]
+    x = np.array([[i % 4, i // 4 % 4, i // 16 % 3] for i in range(400)], float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(3)
+    asked = lambda i: i % 5 == 0
+    for options in ({"hashes": 40}, {"hashes": 40, "tile": 7}, {"hashes": 1, "tile": 16}):
+        _same(_got(ann.neighbours(df, k, queries=F.expr("vec_id % 5 = 0"), **options).collect()), _exact(ids, x, k, asked))
+
+
+def test_distances_far_from_the_origin(spark):
+    rng = np.random.default_rng(8)
+    x = 1e4 + rng.normal(size=(300, 8)) * 1e-3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    wanted = {(i, j): d for i, rows in _exact(list(range(300)), x, 300).items() for _, j, d in rows}
+    for r in ann.neighbours(df, 3).collect():
+        assert abs(r.distance - wanted[r.vec_id, r.neighbour_id]) <= 1e-9
+
+
+def test_tiles_lose_nothing(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(500, 6)) * 0.05, rng.normal(size=(100, 6)) * 5]).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    assert _got(ann.neighbours(df, 4, hashes=4, tile=20).collect()) == _got(ann.neighbours(df, 4, hashes=4).collect())
+
+
+def test_ids_of_other_types(spark):
+    rng = np.random.default_rng(10)
+    x = rng.integers(0, 3, size=(60, 3)).astype(float)
+    ids = [f"v{i:02d}" for i in rng.permutation(60)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)] + [(None, [0.0, 0.0, 0.0])], "vec_id string, embedding array<double>")
+    _same(_got(ann.neighbours(df, 3, hashes=40, queries=F.col("vec_id") > "v30").collect()), _exact(ids, x, 3, lambda i: i > "v30"))
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
+def test_query_against_brute_force(spark):
+    rows = spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()
+    x, ids = np.array([r.embedding for r in rows], float), [r.vec_id for r in rows]
+    wanted, got = _exact(ids, x, ann.NEIGHBOURS, lambda i: i % 50 == 0), _got(ann.query(spark, FOLDER).collect())
+    assert got.keys() == wanted.keys()
+    assert sum(g[2] <= wanted[i][-1][2] + 1e-9 for i in got for g in got[i]) >= 0.9 * sum(map(len, wanted.values()))
