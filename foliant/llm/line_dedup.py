@@ -12,8 +12,9 @@ three lines, drops one, keeps two; ``"0,2"`` drops both lines.
 
 Results for odd inputs: lines are compared without blanks at their ends; a blank line is always kept;
 a null text has 0 lines and an empty bitmap, an empty text one blank line; documents are ordered by
-``doc_id``, nulls first, then by a hash of their text; rows that repeat both count as one document; an
-empty table gives an empty result; only the two named columns are read.
+``doc_id``, of any type that has an order, nulls first, then by a hash of their text; rows that repeat both count as one
+document; a very long text is split whole, its lines are one row of hashes; an empty table gives an empty result; only
+the two named columns are read.
 """
 
 from __future__ import annotations
@@ -22,20 +23,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.session import cut, free_name, table
+from foliant.llm.session import cut, free_name, has_integers, table
 
-_LINES = "doc_id long, text_hash long, n_lines int, n_blank int, dropped array<int>, pos array<int>, h1 array<long>, h2 array<long>"
+_LINES = "text_hash long, n_lines int, n_blank int, dropped array<int>, pos array<int>, h1 array<long>, h2 array<long>"
+
+
+def _order(ids: pa.Array) -> np.ndarray:
+    """Numbers in the order of ids of any type; what stands for a null doesn't count."""
+    if pa.types.is_integer(ids.type):
+        return ids.fill_null(0).to_numpy(zero_copy_only=False)
+    coded = ids.dictionary_encode()
+    place = np.zeros(max(1, len(coded.dictionary)), np.int64)
+    place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(coded.dictionary))
+    return place[coded.indices.fill_null(0).to_numpy(zero_copy_only=False)]
 
 
 def _first_in_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Moves the lines with an earlier occurrence in the batch to ``dropped``."""
     ids, text_hash = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
     has_id = ids.is_valid().to_numpy(zero_copy_only=False)
-    ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+    ids = _order(ids)
     h1s, h2s = batch.column(2), batch.column(3)
     n = h1s.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     h1, h2 = h1s.flatten(), h2s.flatten()
@@ -95,6 +107,11 @@ def text_hash(text):
     return F.coalesce(F.xxhash64(text), F.lit(0).cast("long"))
 
 
+def _id(df: DataFrame, doc_id: str) -> Column:
+    """Integers of any width as long; other ids as they are."""
+    return F.col(doc_id).cast("long") if has_integers(df, doc_id) else F.col(doc_id)
+
+
 def _hashes(lines, seed: int):
     return F.transform(lines, lambda x: F.when(x.isNotNull(), F.xxhash64(F.lit(seed), x)))
 
@@ -103,9 +120,10 @@ def decisions(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """``doc_id, text_hash, copies, n_lines, n_blank, n_kept, keep_rle, keep``, a row per distinct document."""
     line = F.transform(F.split(F.col(text), "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r")))
     some = F.transform(line, lambda x: F.when(x != "", x))
-    hashed = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), some.alias("lines"))
+    hashed = df.select(_id(df, doc_id).alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), some.alias("lines"))
     hashed = hashed.select("doc_id", "text_hash", *[_hashes(F.col("lines"), seed).alias(f"h{seed}") for seed in (1, 2)])
-    lines = cut(hashed.mapInArrow(lambda batches: map(_first_in_batch, batches), _LINES))
+    made = T.StructType([hashed.schema["doc_id"], *T.StructType.fromDDL(_LINES)])
+    lines = cut(hashed.mapInArrow(lambda batches: map(_first_in_batch, batches), made))
 
     each = lines.select("doc_id", "text_hash", F.explode(F.arrays_zip("pos", "h1", "h2")).alias("l")).select("doc_id", "text_hash", "l.*")
     in_order = Window.partitionBy("h1", "h2").orderBy("doc_id", "text_hash", "pos")
@@ -132,7 +150,7 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_ch
     found = cut(decisions(df, doc_id, text).where("n_kept < n_lines or copies > 1"))
     key, here, keep, copies, left = (free_name(df, c) for c in ("__text_hash", "__doc_id", "__keep", "__copies", "__left"))
     found = found.select(F.col("doc_id").alias(here), F.col("text_hash").alias(key), F.col("keep").alias(keep), F.col("copies").alias(copies), ((F.col("n_kept") > F.col("n_blank")) | (F.col("n_kept") == F.col("n_lines"))).alias(left))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col(here)) & (text_hash(F.col(text)) == F.col(key))
+    same = _id(df, doc_id).eqNullSafe(F.col(here)) & (text_hash(F.col(text)) == F.col(key))
     out = df.join(found, same, "left")
     if not found.where(F.col(copies) > 1).isEmpty():
         many = df.join(found.where(F.col(copies) > 1), same).dropDuplicates([here, key])

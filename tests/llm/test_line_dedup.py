@@ -65,3 +65,11 @@ def test_odd_rows(odd, empty):
 def test_lengths_follow(spark):
     df = spark.createDataFrame([(1, "x\ny", 3), (2, "x\nzz", 4)], "doc_id long, text string, n_chars long")
     assert {tuple(r) for r in line_dedup.deduplicated(df).collect()} == {(1, "x\ny", 3), (2, "zz", 2)}
+
+
+def test_ids_of_other_types(spark):
+    rows = [("b", "one\ntwo"), ("a", "two\nthree"), (None, "three\nfour"), ("c", None), ("a", "two\nthree")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").coalesce(1)
+    got = {r.doc_id: (r.n_lines, r.keep_rle) for r in line_dedup.keep_bitmaps(df).collect()}
+    assert got == {None: (2, "2"), "a": (2, "1,1"), "b": (2, "1,1"), "c": (0, "")}
+    assert {r.doc_id: r.text for r in line_dedup.deduplicated(df).collect()} == {None: "three\nfour", "a": "two", "b": "one", "c": None}
