@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +28,37 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+#: Checkpoints that ``cut`` has made, in order.
+_CUTS: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and safe from lost executors."""
     shared_dir(df.sparkSession)
     small_batches()
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    made = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if made.isDefined():
+        _CUTS.append(made.get())
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is cut within is removed at the end; results that read it must be written by then."""
+    before = len(_CUTS)
+    try:
+        yield
+    finally:
+        for path in _CUTS[before:]:
+            remove(spark, path)
+        del _CUTS[before:]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of any file system that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Most bytes of an Arrow batch to a Python worker; Spark's own bound of 64 MB, held in both processes and for every

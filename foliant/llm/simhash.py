@@ -13,9 +13,11 @@ A key that more documents share than a tile holds is compared tile by tile in se
 out.  What is within the radius becomes edges of a forest, and connected components are the groups.
 
 Results for odd inputs: documents with no word, null or empty texts and rows with a null ``doc_id`` are in
-no group and always stay; rows that repeat a ``doc_id`` are the same document, in one group; all members of
-a group are reported with its smallest ``doc_id``; an empty table gives an empty result; only the two named
-columns are read, texts of any length whole.
+no group and always stay; ids of any type that has an order stay as they are.  For ``near_duplicates`` rows that
+repeat a ``doc_id`` are the same document, in one group; all members of a group are reported with its smallest
+``doc_id``.  For ``deduplicated`` a document is an id with a text: one id with two texts is two documents, of rows
+that repeat both one stays, that with the smallest JSON of its columns.  Equal ids of a group are ordered by a hash
+of their text.  An empty table gives an empty result; only the two named columns are read, texts of any length whole.
 """
 
 from __future__ import annotations
@@ -24,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.session import cut, table
+from foliant.llm.line_dedup import text_hash
+from foliant.llm.session import cut, free_name, has_integers, numbered, table
 from foliant.llm.text import mix, slices, words
 
 BITS = 256
@@ -346,13 +349,15 @@ def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
         edges = new
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE, one_task: int = ONE_TASK_EDGES) -> DataFrame:
-    """``doc_id, duplicate_of``: every document of a group but the smallest ``doc_id``, and that one.
+def _sketched(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``id, text_hash, fp, keys, lines`` of each row with an id and a word; hashes of its lines other than blank ones."""
+    lines = F.transform(F.filter(F.split(F.col(text), "\n", -1), lambda x: F.btrim(x) != ""), lambda x: F.xxhash64(x))
+    rows = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), text_hash(F.col(text)).alias("text_hash"), sketch(F.col(text)).alias("s"), lines.alias("lines"))
+    return rows.where("s is not null").select("id", "text_hash", "s.fp", "s.keys", "lines")
 
-    The blocking keys reach a recall of 0.9 up to about ``RADIUS``.
-    """
-    sketches = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), sketch(F.col(text)).alias("s"))
-    sketches = cut(sketches.where("s is not null").select("doc_id", "s.fp", "s.keys"))
+
+def _groups(sketches: DataFrame, radius: int, tile: int, one_task: int) -> DataFrame:
+    """``doc_id, duplicate_of`` of sketches ``doc_id, fp, keys`` with integer ids."""
     # equal fingerprints with equal keys, all exact copies among them, are one row from here on
     alike = cut(sketches.groupBy("fp", "keys").agg(F.min("doc_id").alias("doc_id")))
     name = [F.xxhash64(F.lit(seed), "fp", "keys").alias(f"k{seed}") for seed in (1, 2)]
@@ -361,15 +366,52 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     return components(blocks.mapInArrow(_blocks(radius), "a long, b long").union(copies), one_task)
 
 
-def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one document of each group, the one of the smallest ``doc_id``; all columns stay as they are."""
-    gone = cut(near_duplicates(df, doc_id, text)).select(F.col("doc_id").alias("__gone"))
-    repeated = cut(df.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__gone")).count().where("count > 1").select("__gone"))
-    if repeated.isEmpty():
-        return df.join(gone, F.col(doc_id) == gone["__gone"], "left_anti")
-    first = df.join(repeated, F.col(doc_id) == repeated["__gone"], "left_semi").dropDuplicates([doc_id])
-    out = df.join(repeated, F.col(doc_id) == repeated["__gone"], "left_anti").unionByName(first)
-    return out.join(gone, F.col(doc_id) == gone["__gone"], "left_anti")
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """``doc_id, duplicate_of``: every document of a group but the smallest ``doc_id``, and that one.
+
+    The blocking keys reach a recall of 0.9 up to about ``RADIUS``.
+    """
+    sketches = cut(_sketched(df, doc_id, text).drop("lines"))
+    if has_integers(df, doc_id):
+        return _groups(sketches.select(F.col("id").cast("long").alias("doc_id"), "fp", "keys"), radius, tile, one_task)
+    names = numbered(sketches.select("id"), "nr")
+    found = _groups(sketches.join(names, "id").select(F.col("nr").alias("doc_id"), "fp", "keys"), radius, tile, one_task)
+    own, other = names.select(F.col("nr").alias("doc_id"), F.col("id").alias("own")), names.select(F.col("nr").alias("duplicate_of"), F.col("id").alias("other"))
+    return found.join(own, "doc_id").join(other, "duplicate_of").select(F.col("own").alias("doc_id"), F.col("other").alias("duplicate_of"))
+
+
+def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", originals: DataFrame | None = None, radius: int = RADIUS, tile: int = TILE, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """``df`` with one document of each group, the one of the smallest ``doc_id``; all columns stay as they are.
+
+    ``originals`` has the same documents as they were before an earlier step took lines away.  Documents of ``df``
+    whose originals are near-duplicates are in one group as well.  An original is one only if it has the document's
+    first line, and an id that either table has more than once tells nothing about it.
+    """
+    here, hashed, node = (free_name(df, c) for c in ("__id", "__text_hash", "__node"))
+    sketches = cut(_sketched(df, doc_id, text).withColumn("lines", F.get("lines", F.lit(0))).withColumnRenamed("lines", "line"))
+    repeated = not df.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty()
+    if repeated or not has_integers(df, doc_id):
+        names = numbered(sketches.select("id", "text_hash"), "doc_id")
+        names = sketches = sketches.join(names, ["id", "text_hash"])
+    else:
+        sketches = sketches.withColumn("doc_id", F.col("id").cast("long"))
+        names = sketches.select("id", "text_hash", "line", "doc_id")
+    found = _groups(sketches.select("doc_id", "fp", "keys"), radius, tile, one_task)
+    if originals is not None:
+        before = _sketched(originals, doc_id, text).groupBy("id").agg(F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("fp", "keys", "lines")]).where("n = 1")
+        single = names.groupBy("id").agg(F.count("*").alias("m"), *[F.any_value(c).alias(c) for c in ("line", "doc_id")]).where("m = 1")
+        known = cut(before.join(single, "id").where(F.array_contains("lines", F.col("line"))).select("doc_id", "fp", "keys"))
+        earlier = _groups(known, radius, tile, one_task)
+        found = components(found.union(earlier).select(F.col("doc_id").alias("a"), F.col("duplicate_of").alias("b")), one_task)
+    gone = cut(names.join(found.select("doc_id"), "doc_id").select(F.col("id").alias(here), F.col("text_hash").alias(hashed)).distinct())
+    if not repeated:
+        return df.join(gone, F.col(doc_id) == gone[here], "left_anti")
+    same = lambda other: (F.col(doc_id) == other[here]) & (text_hash(F.col(text)) == other[hashed])
+    left = df.join(gone, same(gone), "left_anti")
+    many = cut(df.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias(here), text_hash(F.col(text)).alias(hashed)).count().where("count > 1").drop("count"))
+    first = F.row_number().over(Window.partitionBy(here, hashed).orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    one = left.join(many, same(many)).withColumn(node, first).where(F.col(node) == 1).select(*[F.col(f"`{c}`") for c in df.columns])
+    return left.join(many, same(many), "left_anti").unionByName(one)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,5 +106,38 @@ def test_odd_rows(odd, empty):
     out = simhash.deduplicated(odd)
     assert out.schema == odd.schema
     ids = sorted((r.doc_id if r.doc_id is not None else -1) for r in out.collect())
-    assert ids == [-1, -1, 1, 2, 3, 4, 5, 6, 7, 8]
+    assert ids == [-1, -1, 1, 2, 3, 4, 5, 6, 6, 7, 8]  # one id with two texts is two documents
     assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicated(empty).count() == 0
+
+
+def test_ids_of_other_types(spark):
+    texts = corpus(4, 20)
+    df = spark.createDataFrame([(f"d{i:03d}", t) for i, t in texts.items()] + [(None, texts[0])], "doc_id string, text string")
+    numbers = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    wanted = {(f"d{r.doc_id:03d}", f"d{r.duplicate_of:03d}") for r in simhash.near_duplicates(numbers).collect()}
+    assert wanted and {tuple(r) for r in simhash.near_duplicates(df).collect()} == wanted
+    left = [r.doc_id for r in simhash.deduplicated(df).collect()]
+    assert sorted(left, key=str) == sorted([None, *({f"d{i:03d}" for i in texts} - {a for a, _ in wanted})], key=str)
+
+
+def test_one_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "z"), (1, b, "z"), (2, b + " more", "z"), (3, c, "q"), (3, c, "p"), (3, c, "p"), (None, a, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string")
+    for _ in range(2):
+        got = sorted((str(r.doc_id), r.text, r["__id"]) for r in simhash.deduplicated(df.repartition(3)).collect())
+        assert got == sorted([("1", a, "z"), ("1", b, "z"), ("3", c, "p"), ("None", a, "n")])
+
+
+def test_near_copies_by_their_originals(spark):
+    """What line dedup leaves of a copy doesn't resemble its group, the original does."""
+    lines = [" ".join(f"w{d}x{k}" for k in range(12)) for d in range(8)]
+    base = "\n".join(lines)
+    near = "\n".join([*lines[:7], "another last line altogether here"])
+    other = "\n".join(" ".join(f"o{d}x{k}" for k in range(12)) for d in range(8))
+    originals = spark.createDataFrame([(1, base), (2, near), (3, other), (4, base), (4, other), (7, near)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, base), (2, "another last line altogether here"), (3, other), (4, "left of four"), (5, "nothing before"), (7, "not a line of seven")], "doc_id long, text string")
+    left = lambda **o: sorted(r.doc_id for r in simhash.deduplicated(docs, **o).collect())
+    assert left() == [1, 2, 3, 4, 5, 7] and left(originals=originals) == [1, 3, 4, 5, 7]
+    again = docs.union(docs.where("doc_id = 2"))
+    assert sorted(r.doc_id for r in simhash.deduplicated(again, originals=originals).collect()) == [1, 2, 3, 4, 5, 7]
