@@ -4,9 +4,9 @@ A stable key is hashed to 64 bits and jumps through ever larger bucket numbers;
 the number of shards is its shard.  No ring table exists, and when shards are appended a key either
 stays or moves to one of the new shards (in expectation ``added / total`` of all keys move).
 
-Results for odd inputs: a null key has a null shard; equal keys, repeated rows included, always
-share a shard; an empty table gives an empty result; the number of shards must be at least 1.
-Only the key column is read, whatever else the table holds.
+Results for odd inputs: a null key has a null shard; an empty key is a key like any other, and a very long one is
+hashed whole; equal keys, repeated rows included, always share a shard; an empty table gives an empty result; the
+number of shards must be at least 1.  Only the key column is read, whatever else the table holds.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.session import table
+from foliant.llm.session import kept, table
 
 _STEP = np.uint64(2862933555777941757)
 
@@ -46,33 +46,47 @@ def hash64(key: Column) -> Column:
     return F.unhex(F.substring(F.md5(key.cast("string").cast("binary")), 1, 16))
 
 
-def shard_of(key: Column, shards: int) -> Column:
-    """Column with the shard, 0 to ``shards - 1``, of a key of any type that casts to string."""
-    if shards < 1:
-        raise ValueError("the number of shards must be at least 1")
+def _landing(counts: tuple[int, ...], kind: T.DataType):
+    """Arrow UDF from 8 bytes of hash to the shard under each count; a struct for several."""
 
-    @F.arrow_udf(T.IntegerType())
+    @F.arrow_udf(kind)
     def land(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
             valid = part.is_valid().to_numpy(zero_copy_only=False)
-            data = b"".join(part.drop_null().to_pylist())
-            found = np.zeros(len(part), np.int32)
-            found[valid] = jump(np.frombuffer(data, ">u8").astype(np.uint64), shards)
-            yield pa.array(found, mask=~valid)
+            keys = np.frombuffer(b"".join(part.drop_null().to_pylist()), ">u8").astype(np.uint64)
+            out = []
+            for shards in counts:
+                found = np.zeros(len(part), np.int32)
+                found[valid] = jump(keys, shards)
+                out.append(pa.array(found, mask=~valid))
+            yield out[0] if len(out) == 1 else pa.StructArray.from_arrays(out, names=kind.names)
+
+    return land
 
-    return land(hash64(key))
+
+def shard_of(key: Column, shards: int) -> Column:
+    """Column with the shard, 0 to ``shards - 1``, of a key of any type that casts to string."""
+    if shards < 1:
+        raise ValueError("the number of shards must be at least 1")
+    return _landing((shards,), T.IntegerType())(hash64(key))
 
 
 def assign(df: DataFrame, shards: int, added: int = 0, key: str = "doc_id") -> DataFrame:
     """``key, shard`` and, with ``added`` shards appended, ``shard_after`` and ``moved``.
 
-    One row per row of ``df``.  Moved rows always go to an appended shard.
+    One row per row of ``df``.  Moved rows always go to an appended shard.  A key named like one of these has an
+    underscore behind its name.
     """
-    out = df.select(F.col(key), shard_of(F.col(key), shards).alias("shard"))
+    if shards < 1 or added < 0:
+        raise ValueError("the number of shards must be at least 1, and none can be taken away")
+    made = ("shard", "shard_after", "moved") if added else ("shard",)
+    (own,) = kept(df, (key,), made)
     if not added:
-        return out
-    out = out.withColumn("shard_after", shard_of(F.col(key), shards + added))
-    return out.withColumn("moved", F.col("shard") != F.col("shard_after"))
+        return df.select(own, shard_of(F.col(key), shards).alias("shard"))
+    both = T.StructType([T.StructField(name, T.IntegerType()) for name in made[:2]])
+    out = df.select(own, _landing((shards, shards + added), both)(hash64(F.col(key))).alias("__both"))
+    name = out.columns[0]
+    return out.select(F.col(f"`{name}`"), F.col("__both.shard").alias("shard"), F.col("__both.shard_after").alias("shard_after"), (F.col("__both.shard") != F.col("__both.shard_after")).alias("moved"))
 
 
 SHARDS, ADDED = 1024, 64
