@@ -13,7 +13,9 @@ The rounds work on distinct generalised paths, not on URLs; each is a few aggreg
 Results for odd inputs: the host is compared in lower case, without user and port; query and fragment don't
 count, nor do empty segments; a null URL, or one without a scheme and host, has the host ``''`` and is never rejected; a null label says nothing; a template without labels has the overall
 share; without any labels nothing is rejected; repeated rows count and are reported each; an empty table gives
-an empty result; other columns of the table can have any name.
+an empty result; of equally long paths through a node any says where it forks, all alike; shares that tie with
+``REJECT`` are rejected; very long paths are read whole; other columns of the table can have any name, a kept one named like
+a column of the result gets an underscore behind its name.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.session import cut, free_name, table
+from foliant.llm.session import cut, kept, table
 
 #: Levels of the SQL's tree; it takes segments from the last of them on as one.
 LEVELS = 6
@@ -102,8 +104,10 @@ def judge(df: DataFrame, bad: str, url: str = "url", keep: tuple[str, ...] = ("p
     ``bad`` names a column with 1 for bad, 0 for good, null for unlabelled URLs.
     """
     label = F.col(bad).cast("int")
-    named = {c: free_name(df, f"__keep{i}") for i, c in enumerate(keep)}
-    rows = df.select(*[F.col(c).alias(n) for c, n in named.items()], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), label.alias("bad"))
+    made = ("host", "template", "n_urls", "n_labelled", "n_bad", "bad_share", "rejected")
+    results = df.select(*kept(df, keep, made)).columns
+    named = {c: f"__keep{i}" for i, c in enumerate(keep)}
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), label.alias("bad"))
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     found = templates(paths)
     totals = found.agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).head()
@@ -113,7 +117,7 @@ def judge(df: DataFrame, bad: str, url: str = "url", keep: tuple[str, ...] = ("p
     per = per.withColumn("bad_share", F.round(share, 6)).withColumn("rejected", (F.col("bad_share") >= REJECT) & (F.col("host") != "") & F.lit(bool(totals.l)))
     mapped = cut(found.select("host", "path", "template").join(per, ["host", "template"]))
     out = rows.drop("bad").join(mapped, ["host", "path"])
-    return out.select(*[F.col(n).alias(c) for c, n in named.items()], "host", "template", "n_urls", "n_labelled", "n_bad", "bad_share", "rejected")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(results, named.values())], *made)
 
 
 #: Part of a page's URL that names the document it shows; its label is the URL's.
@@ -138,9 +142,9 @@ def _sql() -> str:
         own = f"t{k}"
         on = " AND ".join(f"r.{c} = w.{c}" for c in ["host", *current[:k]])
         steps.append(f"""c{k} AS (SELECT {before}, {own}, sum(n)::BIGINT AS n, sum(labelled)::BIGINT AS labelled, sum(bad)::BIGINT AS bad FROM r{k - 1} WHERE {own} <> '' GROUP BY {before}, {own}),
-v{k} AS (SELECT *, count(*) OVER x AS kids, (sum(n) OVER x)::BIGINT AS all_n,
+v{k} AS (SELECT *, count(*) OVER x AS kids, count(*) FILTER (n < {RARE}) OVER x AS rare,
   CASE WHEN sum(labelled) OVER x > 0 THEN (sum(bad) OVER x)::DOUBLE / (sum(labelled) OVER x)::DOUBLE ELSE 0::DOUBLE END AS share FROM c{k} WINDOW x AS (PARTITION BY {before})),
-w{k} AS (SELECT * FROM v{k} WHERE kids >= {MANY} AND all_n < {RARE} * kids OR kids > 1 AND
+w{k} AS (SELECT * FROM v{k} WHERE rare >= {MANY} AND n < {RARE} OR kids > 1 AND
   (bad::DOUBLE - labelled::DOUBLE * share) * (bad::DOUBLE - labelled::DOUBLE * share) <= {ALIKE * ALIKE}::DOUBLE * labelled::DOUBLE * share * (1::DOUBLE - share)),
 r{k} AS (SELECT r.host, {', '.join('r.' + c for c in _SEGMENTS)}, r.n, r.labelled, r.bad, {', '.join(f"CASE WHEN w.host IS NOT NULL THEN '*' ELSE r.{c} END AS {c}" if c == own else 'r.' + c for c in current)}
   FROM r{k - 1} r LEFT JOIN w{k} w ON {on})""")

@@ -72,3 +72,10 @@ def test_odd_rows(spark, odd, empty):
     unlabelled = uf.judge(df.withColumn("bad", F.lit(None).cast("int")), "bad").collect()
     assert len(unlabelled) == 7 and not any(r.rejected for r in unlabelled)
     assert uf.judge(odd.withColumn("bad", F.lit(1)), "bad", url="text", keep=("doc_id", "host")).count() == odd.count()
+
+
+def test_kept_columns_named_like_results(spark):
+    df = spark.createDataFrame([(1, "http://h.example/a", 1, "x", "y")], "page_id long, url string, bad int, host string, N_URLS string")
+    out = uf.judge(df, "bad", keep=("page_id", "host", "N_URLS"))
+    assert out.columns == ["page_id", "host_", "N_URLS_", "host", "template", "n_urls", "n_labelled", "n_bad", "bad_share", "rejected"]
+    assert out.select("host_", "N_URLS_", "host", "n_urls").collect() == [("x", "y", "h.example", 1)]
