@@ -1,22 +1,25 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; the texts of the label table's documents, whatever their label
-says, stand for unlabelled text.  Words that tell the two apart are the features of linear classifiers, which
-are trained in numpy by Adam on the estimated risk
+Confirmed toxic documents are the positives; documents of the table, labelled or not, stand for unlabelled text.
+Words that tell the two apart are the features of linear classifiers, which are trained in numpy by Adam on the
+estimated risk
 
     prior * mean(loss(+s) over positives) + max(0, mean(loss(-s) over unlabelled) - prior * mean(loss(-s) over positives))
 
 with the logistic loss; where the second part is negative, the step goes the other way and takes the overfit
-back.  The prior is the share of confirmed toxic documents among all labelled ones.  Several classifiers,
-each on four fifths of the sample, are averaged.
+back.  The prior is given, or the lesser of two estimates: the share of confirmed toxic documents among all labelled
+ones, which is right where labels were given at random, and the bound that the words give (``estimated_prior``),
+which holds where toxic documents were labelled by preference.  Several classifiers, each on four fifths of the
+sample, are averaged.
 
-The fit sees a sample of labelled rows bounded by ``POSITIVES`` and ``UNLABELLED`` (those of the smallest
+The fit sees a sample of rows bounded by ``POSITIVES`` and ``UNLABELLED`` (those of the smallest
 hashes of ``doc_id``); the prior is taken over all labels, and every document is scored on its whole text.
 
 Results for odd inputs: a text without a word, an empty or a null one has the score 0
 and is never rejected; a null label is no confirmation, several rows of one document confirm it if any does;
-without a confirmed document nothing is learned: scores are 0 and nothing is rejected.  Repeated rows have
-equal scores.  An empty table gives an empty result.  Only the named columns are read.
+without a confirmed document nothing is learned: scores are 0 and nothing is rejected.  A score that equals the
+threshold is rejected.  Repeated rows have equal scores, and all rows of an id that was drawn are in the sample.
+An empty table gives an empty result; very long texts are scored whole.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -40,8 +43,10 @@ POSITIVES, UNLABELLED = 4000, 12000
 #: Rare words would let the classifiers learn single documents by heart, wrongly confirmed ones among them.
 LEAST_DOCS, CHANCE = 5, 0.05
 CLASSIFIERS, STEPS = 3, 1000
-#: The prior where only confirmed documents are listed, and none is given.
-PRIOR = 0.1
+#: Weight of the squared weights in the loss, times the number of positives: it counts like so many of them however many there are.
+DECAY = 0.009
+#: A prior is at least this far from 0 and from 1, where the loss has no minimum.
+LEAST_PRIOR = 1e-4
 #: A document is rejected from this probability on.
 THRESHOLD = 0.5
 
@@ -96,6 +101,21 @@ def telling(in_p: np.ndarray, n_p: int, in_u: np.ndarray, n_u: int) -> np.ndarra
     return often & (np.abs(in_p / n_p - in_u / n_u) / spread >= bound)
 
 
+def estimated_prior(in_p: np.ndarray, n_p: int, in_u: np.ndarray, n_u: int) -> float:
+    """The share of positives among unlabelled documents, from the number of both that hold each word.
+
+    Positives are a part of the unlabelled, so for any word the share of unlabelled documents with it is at least the
+    prior times that of positives: the least ratio of the two bounds the prior, and reaches it at a word that only
+    positives have.  Shares are taken at the far end of their two-sided intervals at ``CHANCE`` over all words.
+    """
+    bound = NormalDist().inv_cdf(1 - CHANCE / 4 / max(len(in_p), 1))
+    p, u = in_p / n_p, in_u / n_u
+    low = p - bound * np.sqrt(p * (1 - p) / n_p)
+    high = u + bound * np.sqrt(np.maximum(u * (1 - u), 1 / n_u) / n_u)
+    fine = low > 0
+    return float(min(1.0, (high[fine] / low[fine]).min())) if fine.any() else 1.0
+
+
 class Rows:
     """Sparse binary rows: feature numbers and offsets."""
 
@@ -132,9 +152,10 @@ def risk_slopes(sp: np.ndarray, su: np.ndarray, prior: float) -> tuple[np.ndarra
     return up + rest_p, rest_u, prior * loss(sp).mean() + negative
 
 
-def fit(positive: Rows, unlabelled: Rows, prior: float, n: int, seed: int = 0, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-6) -> tuple[np.ndarray, float]:
+def fit(positive: Rows, unlabelled: Rows, prior: float, n: int, seed: int = 0, steps: int = STEPS, rate: float = 0.05, decay: float | None = None) -> tuple[np.ndarray, float]:
     """Weights and intercept of one classifier over ``n`` features."""
     rng = np.random.default_rng(seed)
+    decay = DECAY / len(positive) if decay is None else decay
     p, u = (rows.take(rng.permutation(len(rows))[: -(-len(rows) * 4 // 5)]) for rows in (positive, unlabelled))
     w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     w[n] = np.log(prior / (1 - prior))
@@ -172,19 +193,24 @@ class Model:
         return _sigmoid(self.intercept + np.bincount(both // k, self.weights[both % k], len(at) - 1))
 
 
+def _drawn(ids: DataFrame, n: int, most: int, seed: int) -> DataFrame:
+    """The ``most`` different ids of ``n`` rows with the smallest hashes; only about twice as many are sorted."""
+    scale = 1 << 40
+    place = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(scale))
+    share = min(1.0, (2 * most + 1000) / max(n, 1))
+    return ids.where(place < F.lit(int(share * scale))).distinct().orderBy(place, "id").limit(most)
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", toxic: str = "toxic", prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Fits the classifiers; ``prior`` None takes it from all labels."""
+    """Fits the classifiers; ``prior`` None takes the lesser of the share among all labels and the words' bound."""
     by_doc = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("id")).agg(F.coalesce(F.max(F.col(toxic).cast("int")), F.lit(0)).alias("yes"))
     by_doc = cut(by_doc)
     n, yes = by_doc.agg(F.count("*"), F.coalesce(F.sum("yes"), F.lit(0))).head()
     if not yes:
         return Model(None)
-    prior = prior if prior is not None else yes / n if yes < n else PRIOR
-    pool = by_doc
-    if yes == n:  # only confirmed ones are listed: any document may stand for unlabelled text
-        pool = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id")).distinct()
-    p = by_doc.where("yes = 1").orderBy(F.xxhash64("id"), "id").limit(positives).select("id", F.lit(True).alias("p"))
-    u = pool.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(unlabelled).select("id", F.lit(False).alias("p"))
+    pool = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"))
+    p = _drawn(by_doc.where("yes = 1").select("id"), yes, positives, 0).withColumn("p", F.lit(True))
+    u = _drawn(pool, pool.count(), unlabelled, 1).withColumn("p", F.lit(False))
     sample = p.unionByName(u).groupBy("id").agg(F.bool_or("p").alias("p"), F.bool_or(~F.col("p")).alias("u"))
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     rows = cut(own.join(F.broadcast(sample), "id").select("p", "u", _features("text").alias("f")))
@@ -193,6 +219,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return Model(None)
     often = rows.select("p", "u", F.explode("f").alias("w")).groupBy("w").agg(F.count_if("p").alias("in_p"), F.count_if("u").alias("in_u")).where(F.col("in_p") + F.col("in_u") >= LEAST_DOCS).toArrow()
     w, in_p, in_u = (often[c].to_numpy() for c in ("w", "in_p", "in_u"))
+    if prior is None:
+        prior = min(yes / n, estimated_prior(in_p, n_p, in_u, n_u))
+    prior = min(max(prior, LEAST_PRIOR), 1 - LEAST_PRIOR)
     known = np.sort(w[telling(in_p, n_p, in_u, n_u)].view(U64))
     found = rows.select("p", "u", _numbered(known)("f").alias("f")).toArrow()
     lists = found["f"].combine_chunks()
