@@ -2,6 +2,15 @@
 
 ``STAGES`` lists the stages.  Each takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as
 Parquet and read back as the next one's ``docs``.  All but the last return the columns of ``documents``.
+
+Once repeated lines are gone a near-copy is only what it didn't share, so near-duplicates are looked for in the texts
+as they are and in the same documents' texts as ``documents`` has them; one document of each group stays.
+
+Results for odd inputs: documents with a null id or text, an empty or a very long text pass every stage like others (a
+null or empty text is never toxic, has no line that can go, is in no group, overlaps with nothing and has null or no
+identifiers); documents of which line dedup leaves nothing but blank lines go; of rows that repeat id and text one stays,
+an id with two texts is two documents; ties stay with the smaller id; an empty table gives an empty result at every
+stage; further columns pass all stages but the last.
 """
 
 from __future__ import annotations
@@ -11,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import bpe, decontaminate, line_dedup, simhash, toxicity
-from foliant.llm.session import shared_dir, table
+from foliant.llm.session import remove, scratch, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +35,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return simhash.deduplicated(docs)
+    return simhash.deduplicated(docs, originals=table(spark, sf_dir, "documents"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,20 +61,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies ``STAGES`` to ``documents``; each result is a table in the shared folder."""
+    """Applies ``STAGES`` to ``documents``; each result is a table in the shared folder.
+
+    Tables and checkpoints of a stage are removed once the next one has read them; the last table stays, as the result.
+    """
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}_{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-        if k:
-            _remove(spark, before)
+        if before:
+            remove(spark, before)
         before = path
     return docs
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    """Removes a table that the next stage has read."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
