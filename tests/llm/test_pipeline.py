@@ -3,7 +3,7 @@ import os
 import pytest
 
 import corpus_pipeline as cp
-from foliant.llm import catalog
+from foliant.llm import catalog, session
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
@@ -17,7 +17,7 @@ def test_every_stage_takes_odd_rows(spark, odd):
         if k < len(cp.STAGES) - 1:
             assert out.schema == docs.schema, name
             docs = out
-    assert sorted((r.doc_id if r.doc_id is not None else -1) for r in out.collect()) == [-1, -1, 1, 2, 3, 4, 5, 6, 7, 8]
+    assert sorted((r.doc_id if r.doc_id is not None else -1) for r in out.collect()) == [-1, -1, 1, 2, 3, 4, 5, 6, 6, 7, 8]
 
 
 def test_every_stage_takes_an_empty_table(spark, empty):
@@ -80,3 +80,26 @@ def test_no_operator_makes_a_local_checkpoint():
     root = pathlib.Path(cp.__file__).parent
     for p in [*root.glob("foliant/llm/*.py"), root / "corpus_pipeline.py"]:
         assert "localCheckpoint" not in p.read_text()
+
+
+def test_near_copies_go_though_their_lines_went(spark, tmp_path):
+    """A copy that shares most lines with an earlier document goes as a whole; one that shares few stays."""
+    rows = [(i, "\n".join(" ".join(f"d{i}l{k}w{j}" for j in range(12)) for k in range(9)), "en", "own", 0) for i in range(6)]
+    lines = rows[0][1].split("\n")
+    rows += [(10, "\n".join([*lines[:8], "the end of it was changed"]), "en", "own", 0), (11, "\n".join([*lines[:3], *(f"a line {k} of its own with other words {k * 7}" for k in range(9))]), "en", "own", 0)]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        os.symlink(f"{FOLDER}/{t}.parquet", tmp_path / f"{t}.parquet")
+    spark.createDataFrame(rows, docs.schema).union(docs.where("doc_id > 20")).write.parquet(str(tmp_path / "documents.parquet"))
+    before = len(session._CUTS)
+    left = {r.doc_id for r in cp.run(spark, str(tmp_path)).where("source = 'own'").collect()}
+    assert left == {0, 1, 2, 3, 4, 5, 11}
+    assert len(session._CUTS) == before
+
+
+def test_a_stage_leaves_nothing_behind(spark, odd):
+    with session.scratch(spark):
+        assert session.cut(odd).count() == odd.count()
+        made = session._CUTS[-1].removeprefix("file:")
+        assert os.path.isdir(made)
+    assert not os.path.isdir(made)
