@@ -1,7 +1,8 @@
 """Counts per bucket, de-duplicated over one or more levels of parents.
 
 A row counts once for each distinct parent.  A path like ``"order,customer"`` goes from rows to their orders and
-on to the orders' customers, dropping repetitions before every hop, so each join sees distinct keys only.
+on to the orders' customers, dropping repetitions before every hop, so each join sees distinct keys only.  The rows
+themselves are read once.
 """
 
 from __future__ import annotations
@@ -78,33 +79,40 @@ def undup(
     # a bucket may be an array: a row is then in each of its elements' buckets
     is_array = hits.schema[bucket].dataType.typeName() == "array"
     named = hits.withColumn(bucket, F.explode(bucket)) if is_array else hits
-    start = root if first == NESTED else keys[first]
-    current = named.select(F.col(bucket), F.col(start).alias("_key"))
-    if first == NESTED and rest:
-        if roots is not None:
-            step = roots.select(F.col(root).alias("_key"), F.col(keys[rest[0]]).alias("_next"))
-            current = _distinct(current, bucket).join(step, "_key").select(bucket, F.col("_next").alias("_key"))
-        else:
-            current = named.select(F.col(bucket), F.col(keys[rest[0]]).alias("_key"))
-    current = _distinct(current, bucket)
+    # the hits are read once: a key that leads nowhere becomes null, so a bucket keeps a row even if it counts 0
+    if first == NESTED and rest and roots is None:
+        start = keys[rest[0]]
+    else:
+        start = root if first == NESTED else keys[first]
+    current = _distinct(named.select(F.col(bucket), F.col(start).alias("_key")), bucket)
+    if first == NESTED and rest and roots is not None:
+        current = _hop(current, roots.select(F.col(root).alias("_key"), F.col(keys[rest[0]]).alias("_next")), bucket)
     for level, following in zip(rest, rest[1:]):
         step = parents[level].alive().select(F.col(parents[level].key).alias("_key"), F.col(keys[following]).alias("_next"))
-        current = _distinct(current.join(step, "_key").select(bucket, F.col("_next").alias("_key")), bucket)
+        current = _hop(current, step, bucket)
     if rest and compensate_non_existing:
         last = parents[rest[-1]]
-        current = current.join(last.alive().select(F.col(last.key).alias("_key")), "_key", "left_semi")
-    counted = current.groupBy(bucket).agg(F.count("*").alias(alias))
-    every = (buckets if buckets is not None else named).select(bucket).where(F.col(bucket).isNotNull()).distinct()
+        there = F.col(last.key)
+        current = _hop(current, last.alive().select(there.alias("_key"), there.alias("_next")), bucket)
+    counted = current.groupBy(bucket).agg(F.count("_key").alias(alias))
+    if buckets is None:
+        return counted
+    every = buckets.select(bucket).where(F.col(bucket).isNotNull()).distinct()
     return every.join(counted, bucket, "left").select(bucket, F.coalesce(F.col(alias), F.lit(0)).alias(alias))
 
 
 def _distinct(rows: DataFrame, bucket: str) -> DataFrame:
-    return rows.where(F.col(bucket).isNotNull() & F.col("_key").isNotNull()).distinct()
+    return rows.where(F.col(bucket).isNotNull()).distinct()
 
 
-def terms(rows: DataFrame, field: str, size: int | None = None) -> DataFrame:
-    """Buckets of a field's values with their rows, ``key, count``: the largest first, ties by key."""
+def _hop(current: DataFrame, step: DataFrame, bucket: str) -> DataFrame:
+    """Keys by the next level's, those without a parent by null."""
+    return _distinct(current.join(step.where(F.col("_key").isNotNull()), "_key", "left").select(bucket, F.col("_next").alias("_key")), bucket)
+
+
+def terms(rows: DataFrame, field: str, size: int | None = None, order: list[Column] | None = None) -> DataFrame:
+    """Buckets of a field's values with their rows, ``key, count``: the largest first, ties by key, or in another order."""
     value = F.explode(field) if rows.schema[field].dataType.typeName() == "array" else F.col(field)
     counted = rows.select(value.alias("key")).where("key is not null").groupBy("key").agg(F.count("*").alias("count"))
-    ordered = counted.orderBy(F.desc("count"), "key")
+    ordered = counted.orderBy(*(order or [F.desc("count")]), "key")
     return ordered.limit(size) if size else ordered

@@ -106,3 +106,14 @@ def test_bad_queries(body):
 def test_bad_aggregations(body):
     with pytest.raises(ValueError):
         dsl.UndupRequest.parse(body)
+
+
+def test_null_buckets_keys_and_parents(spark):
+    """A bucket of which no row leads to a parent counts 0; repeated and null parents count once and not at all."""
+    hits = spark.createDataFrame([("a", 1), ("a", 2), ("b", None), ("c", 9), (None, 1), ("d", 3)], "bucket string, o long")
+    orders = spark.createDataFrame([(1, 7), (1, 7), (2, 7), (3, None), (None, 5)], "id long, c long")
+    customers = spark.createDataFrame([(7,), (7,), (None,)], "cid long")
+    parents = {"order": Parent(orders, "id"), "customer": Parent(customers, "cid")}
+    keys = {"order": "o", "customer": "c"}
+    for path, wanted in (("order", {"a": 2, "b": 0, "c": 0, "d": 1}), ("order,customer", {"a": 1, "b": 0, "c": 0, "d": 0})):
+        assert {r.bucket: r.doc_count for r in undup(hits, "bucket", path, parents, keys).collect()} == wanted
