@@ -42,19 +42,29 @@ class Term(Query):
 
 @dataclass(frozen=True)
 class Bool(Query):
+    """All of ``must``, none of ``must_not``, and one of ``should`` unless something must match.
+
+    ``minimum_should_match`` says how many of ``should`` are needed: by default 1 without and 0 with a ``must``.
+    """
+
     must: tuple[Query, ...] = ()
     should: tuple[Query, ...] = ()
     must_not: tuple[Query, ...] = ()
+    minimum_should_match: int | None = None
 
     def predicate(self) -> Column:
         out = F.lit(True)
         for q in self.must:
             out &= q.predicate()
-        if self.should:
+        least = self.minimum_should_match
+        least = (0 if self.must else 1) if least is None else least
+        if self.should and least == 1:
             some = F.lit(False)
             for q in self.should:
                 some |= q.predicate()
             out &= some
+        elif least > 0 and (self.should or least > 1):
+            out &= sum((q.predicate().cast("int") for q in self.should), F.lit(0)) >= least
         for q in self.must_not:
             out &= ~q.predicate()
         return out

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from foliant.operators import queries as Q
 from foliant.operators.diagnostics import parse_ext, with_diagnostics
@@ -46,8 +47,9 @@ def parse_query(body: dict | None) -> Q.Query:
             found = own.get(key, [])
             return tuple(parse_query(q) for q in (found if isinstance(found, list) else [found]))
 
-        _only(own, name, {"must", "filter", "should", "must_not"})
-        return Q.Bool(many("must") + many("filter"), many("should"), many("must_not"))
+        _only(own, name, {"must", "filter", "should", "must_not", "minimum_should_match"})
+        least = own.get("minimum_should_match")
+        return Q.Bool(many("must") + many("filter"), many("should"), many("must_not"), None if least is None else int(least))
     wrapped = {"bm_match_deleted": Q.MatchDeleted, "bm_fuzzy": Q.Fuzzy, "bm_match_nested": Q.MatchNested, "bm_allow_nested": Q.AllowNested}
     if name not in wrapped:
         raise ValueError(f"no such query: {name}")
@@ -109,12 +111,39 @@ def run(docs: DataFrame, body: dict, schema: Schema = Schema()) -> Result:
 
 
 def _terms(found: DataFrame, body: dict, schema: Schema) -> DataFrame:
+    """Buckets with a column per count of parents; ordered by rows, key or one of these counts.
+
+    Without an order, or by rows or key, only the buckets that are shown are counted by parents; by such a count all are.
+    """
     own = _only(body, "aggregation", {"terms", "aggs", "aggregations"})
-    by = _only(own.get("terms"), "terms", {"field", "size"})
-    buckets = terms(found, by["field"], by.get("size", 10))
-    out = buckets.withColumnRenamed("key", by["field"])
+    by = _only(own.get("terms"), "terms", {"field", "size", "order"})
+    subs = {}
     for name, sub in (own.get("aggs") or own.get("aggregations") or {}).items():
-        request = UndupRequest.parse(_only(sub, "aggregation", {"bm_undup_by_parents"})["bm_undup_by_parents"])
-        counted = undup(found, by["field"], request.parent_paths, schema.parents, schema.keys, buckets=out.select(by["field"]), compensate_non_existing=request.compensate_non_existing, resilient=request.resilient, alias=name)
-        out = out.join(counted, by["field"], "left")
-    return out
+        subs[name] = UndupRequest.parse(_only(sub, "aggregation", {"bm_undup_by_parents"})["bm_undup_by_parents"])
+    field, size = by["field"], by.get("size", 10)
+    order, metric = _bucket_order(by.get("order"), subs)
+    out = terms(found, field, None if metric else size, None if metric else order).withColumnRenamed("key", field)
+    for name, request in subs.items():
+        counted = undup(found, field, request.parent_paths, schema.parents, schema.keys, buckets=out.select(field), compensate_non_existing=request.compensate_non_existing, resilient=request.resilient, alias=name)
+        out = out.join(counted, field, "left")
+    if metric or subs:
+        out = out.orderBy(*(_bucket_order(by.get("order"), subs, field)[0] or [F.desc("count")]), field)
+    return out.limit(size) if metric else out
+
+
+def _bucket_order(wanted: dict | list | None, subs: dict, key: str = "key") -> tuple[list[Column], bool]:
+    """Columns to order buckets by, and whether a count of parents is among them."""
+    found, metric = [], False
+    for one in wanted if isinstance(wanted, list) else [wanted] if wanted else []:
+        if not isinstance(one, dict) or len(one) != 1:
+            raise ValueError("[order] takes one name with asc or desc, or a list of such")
+        name, way = next(iter(one.items()))
+        if way not in ("asc", "desc"):
+            raise ValueError(f"[order] must be asc or desc, not {way!r}")
+        name = name.removesuffix(".value").removesuffix(".doc_count")
+        if name not in ("_count", "_key") and name not in subs:
+            raise ValueError(f"[order] knows no {name!r}")
+        metric |= name in subs
+        column = F.col({"_count": "count", "_key": key}.get(name, name))
+        found.append(column.asc() if way == "asc" else column.desc())
+    return found, metric
