@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -42,19 +43,22 @@ def score(freq: Column, length: Column, n: Column, df: Column, settings: Setting
     return boost * (idf(n, df, settings) + tf(freq, length, settings))
 
 
-def scored(docs: DataFrame, terms_column: str, query: list[str], settings: Settings = Settings(), boost: float = 1.0, boosts: dict[str, float] | None = None, explain: bool = False, phrase: bool = False) -> DataFrame:
+def scored(docs: DataFrame, terms_column: str, query: list[str], settings: Settings = Settings(), boost: float = 1.0, boosts: dict[str, float] | None = None, explain: bool = False, phrase: bool = False, parent_term: str = "") -> DataFrame:
     """Rows that hold any of the query's terms, with their summed ``score``.
 
-    Document frequencies are global and count every row of ``docs``, deleted ones as well.  They come from one
-    aggregation, joined as a single row.  With ``phrase``, all terms share the largest document frequency.
+    The column holds strings, or full tokens; of these, tokens on another's position don't count for the length if
+    ``discount_overlaps``.  Document frequencies are global and count every row of ``docs``, deleted ones as well.  They
+    come from one aggregation, joined as a single row.  With ``phrase``, all terms share the largest document frequency.
+    ``explain`` adds an ``explanation``: a struct per term with its numbers, a description and the details behind it.
     """
-    frequency = {t: _frequency(terms_column, t) for t in query}
+    full = isinstance(docs.schema[terms_column].dataType.elementType, T.StructType)
+    length = field_length(F.col(terms_column), settings) if full else F.size(terms_column)
+    words = F.transform(terms_column, lambda t: t["term"]) if full else F.col(terms_column)
     need_counts = settings.max_idf != 0 or explain
     rows = docs
     if need_counts:
-        stats = docs.agg(F.count("*").alias("_n"), *[F.count_if(F.array_contains(terms_column, t)).alias(f"_df{i}") for i, t in enumerate(query)])
+        stats = docs.agg(F.count("*").alias("_n"), *[F.count_if(F.array_contains(words, t)).alias(f"_df{i}") for i, t in enumerate(query)])
         rows = docs.crossJoin(F.broadcast(stats))  # one row
-    length = F.size(terms_column)
     parts, details = [], []
     for i, t in enumerate(query):
         df = F.col(f"_df{i}") if need_counts else F.lit(1)
@@ -62,20 +66,46 @@ def scored(docs: DataFrame, terms_column: str, query: list[str], settings: Setti
             df = F.greatest(*[F.col(f"_df{j}") for j in range(len(query))]) if len(query) > 1 else df
         n = F.col("_n") if need_counts else F.lit(1)
         b = boost * (boosts or {}).get(t, 1.0)
-        present = F.array_contains(terms_column, t)
-        parts.append(F.when(present, score(frequency[t], length, n, df, settings, b)).otherwise(0.0))
-        details.append(F.struct(F.lit(t).alias("term"), F.lit(b).alias("boost"), frequency[t].alias("freq"), df.cast("long").alias("df"), idf(n, df, settings).alias("idf"), F.when(present, tf(frequency[t], length, settings)).alias("tf"), parts[-1].alias("score")))
+        present = F.array_contains(words, t)
+        freq = _frequency(words, t)
+        parts.append(F.when(present, score(freq, length, n, df, settings, b)).otherwise(0.0))
+        if explain:
+            why = explained(freq, length, n, df, settings, b, parent_term)
+            details.append(F.struct(F.lit(t).alias("term"), F.lit(b).alias("boost"), freq.alias("freq"), df.cast("long").alias("df"), idf(n, df, settings).alias("idf"), F.when(present, tf(freq, length, settings)).alias("tf"), parts[-1].alias("score"), F.when(present, why["description"]).alias("description"), F.when(present, why["details"]).alias("details")))
     total = parts[0]
     for p in parts[1:]:
         total = total + p
-    out = rows.where(F.arrays_overlap(F.col(terms_column), F.array(*[F.lit(t) for t in query]))).withColumn("score", total)
+    out = rows.where(F.arrays_overlap(words, F.array(*[F.lit(t) for t in query]))).withColumn("score", total)
     if explain:
         out = out.withColumn("explanation", F.array(*details))
     return out.drop("_n", *[f"_df{i}" for i in range(len(query))])
 
 
-def _frequency(terms_column: str, term: str) -> Column:
-    return F.size(F.filter(terms_column, lambda x: x == F.lit(term)))
+def explained(freq: Column, length: Column, n: Column, df: Column, settings: Settings = Settings(), boost: float = 1.0, parent_term: str = "") -> Column:
+    """Struct of ``value, description, details`` of one term's score.
+
+    Without inverse document frequency and boost the description is that of the frequency part, and there are no
+    details; otherwise they are the frequency part, then what is added, then what it is multiplied by.  A
+    ``parent_term`` stands in front of the description, with a slash.
+    """
+    inverse = idf(n, df, settings)
+    part = tf(freq, length, settings)
+    said = F.format_string(f"tfBoost (tf=%.1f, fieldlen=%d, maxTf={settings.max_tf:.2f}, forceTf={settings.force_tf:.1f}, bias={settings.bias_tf:.2f})", freq.cast("double"), length.cast("long"))
+    one = lambda value, text: F.struct(value.alias("value"), text.alias("description"))
+    details = []
+    if settings.max_idf != 0:
+        details.append(one(inverse, F.format_string(f"+= idf=%.3f (docs=%d out of %d, maxIdf={settings.max_idf:.3f})", inverse, df.cast("long"), n.cast("long"))))
+    if boost != 1.0:
+        details.append(one(F.lit(float(boost)), F.lit(f"*= boost={boost:.3f}")))
+    prefix = f"{parent_term}/" if parent_term else ""
+    if not details:
+        return F.struct((inverse + part).alias("value"), F.concat(F.lit(prefix), said).alias("description"), F.array().cast("array<struct<value: double, description: string>>").alias("details"))
+    first = one(part if settings.max_idf != 0 else inverse + part, said)
+    return F.struct(score(freq, length, n, df, settings, boost).alias("value"), F.lit(prefix + "Combined from:").alias("description"), F.array(first, *details).alias("details"))
+
+
+def _frequency(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == F.lit(term)))
 
 
 def weighted_term(terms_column: str, term: str, freq_score: Column, weight: float) -> Column:
