@@ -44,6 +44,12 @@ class Mapping:
             return tokens(F.col(name))
         return F.array_compact(F.array(F.col(name)))
 
+    def class_of(self, df: DataFrame, name: str) -> str:
+        """The analyzer of a text, the SQL type of any other field."""
+        if self.is_text(df, name):
+            return self.analyzers.get(name, "terms" if isinstance(df.schema[name].dataType, T.ArrayType) else "standard")
+        return SQL_TYPES.get(self.type_of(df, name), "binary")
+
     def is_text(self, df: DataFrame, name: str) -> bool:
         return SQL_TYPES.get(self.type_of(df, name)) == "string"
 
@@ -69,7 +75,7 @@ class Request:
     result_limit: int = 20000
 
     def __post_init__(self):
-        _order_name(self.sort)
+        order_name(self.sort)
         int_range(self.length), int_range(self.count)
 
     def fields(self, df: DataFrame) -> list[str]:
@@ -82,7 +88,7 @@ class Request:
 _ORDERS = {"-term": [("term", False)], "term": [("term", True)], "-count": [("count", True), ("term", False)], "count": [("count", False), ("term", False)]}
 
 
-def _order_name(name: str) -> str:
+def order_name(name: str) -> str:
     for start in _ORDERS:
         if (name or "term").lower().startswith(start):
             return start
@@ -90,7 +96,7 @@ def _order_name(name: str) -> str:
 
 
 def sort_order(name: str) -> list[Column]:
-    return [F.desc(c) if down else F.asc(c) for c, down in _ORDERS[_order_name(name)]]
+    return [F.desc(c) if down else F.asc(c) for c, down in _ORDERS[order_name(name)]]
 
 
 def utf16_length(text: Column) -> Column:
@@ -167,6 +173,12 @@ def collisions(listed: DataFrame, request: Request) -> DataFrame:
     return met.select(F.col("changed").alias("term"), "count", F.col("key").alias("collision"), F.coalesce("met", F.lit(0)).alias("collision_count"))
 
 
+def limited_collisions(found: DataFrame, request: Request) -> DataFrame:
+    """Collisions cut at the limit, by term: ascending for ``-term``, else descending, also where counts are the list's order."""
+    ordered = found.orderBy(F.asc("term") if order_name(request.sort) == "-term" else F.desc("term"))
+    return ordered.limit(request.result_limit) if request.result_limit > 0 else ordered
+
+
 def term_fields(tables: dict[str, DataFrame], term: str, mapping: Mapping = Mapping()) -> DataFrame:
     """``index, field, count``: documents that hold a term, by field; fields that begin with ``_`` are left out.
 
@@ -182,24 +194,75 @@ def term_fields(tables: dict[str, DataFrame], term: str, mapping: Mapping = Mapp
     return reduce(DataFrame.unionByName, parts).where("count > 0")
 
 
+#: Columns that carry the ends of a field's values in their own order, by the SQL type that holds them.
+_ENDS = {"n": "bigint", "d": "double", "t": "timestamp_ntz", "s": "string"}
+
+
+def _end_column(kind: T.DataType) -> str:
+    if isinstance(kind, T.IntegralType):
+        return "n"
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return "d"
+    return "t" if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else "s"
+
+
 def field_catalog(tables: dict[str, DataFrame], mapping: Mapping = Mapping(), wanted: list[str] | None = None) -> DataFrame:
     """``index, field, type, doc_count, term_count, lo, hi`` of each field, by index, then name without case.
 
-    Tables are aggregated in two steps that Catalyst plans: per value, then per field.  Rows of one index and
-    field (of several parts of a table) combine as sum, largest, least and greatest.
+    Each table is read once: a row becomes its fields' different values, each as text, and per field one entry that
+    counts the document and carries its least and greatest value.  Entries are aggregated per value, then per field.
+    Rows of one index and field (of several parts of a table) combine as sum, largest, least and greatest.
     """
     parts = []
     for index, df in tables.items():
         names = [c for c in df.columns if wanted is None or c.lower() in {w.lower() for w in wanted}]
-        for c in names:
-            kind = mapping.type_of(df, c)
-            values = df.select(F.array_distinct(mapping.terms(df, c)).alias("v"))
-            docs = values.agg(F.count_if(F.size("v") > 0).alias("doc_count"))
-            terms = values.select(F.explode("v").alias("t")).groupBy("t").agg(F.lit(1).alias("one")).agg(F.count("*").alias("term_count"), show(F.min("t"), kind).alias("lo"), show(F.max("t"), kind).alias("hi"))
-            parts.append(docs.crossJoin(terms).select(F.lit(index).alias("index"), F.lit(c).alias("field"), F.lit(kind).alias("type"), "doc_count", "term_count", "lo", "hi"))
+        if not names:
+            continue
+        kinds = [mapping.type_of(df, c) for c in names]
+        values = df.select(*[F.array_distinct(mapping.terms(df, c)).alias(f"v{i}") for i, c in enumerate(names)])
+        element = [values.schema[f"v{i}"].dataType.elementType for i in range(len(names))]
+        entries = []
+        for i, kind in enumerate(element):
+            v, own = F.col(f"v{i}"), _end_column(kind)
+            text = F.col(f"v{i}") if isinstance(kind, T.StringType) else F.transform(v, lambda x: x.cast("string"))
+
+            def end(of, v=v, own=own):
+                return [(of(v) if c == own else F.lit(None)).cast(t).alias(f"{of.__name__}_{c}") for c, t in _ENDS.items()]
+
+            none = [F.lit(None).cast(t).alias(f"{e}_{c}") for e in ("array_min", "array_max") for c, t in _ENDS.items()]
+            entries.append(F.when(F.size(v) > 0, F.array(F.struct(F.lit(i).alias("f"), F.lit(None).cast("string").alias("v"), *end(F.array_min), *end(F.array_max)))))
+            entries.append(_entries(text, i, none))
+        rows = values.select(F.explode(F.flatten(F.array_compact(F.array(*entries)))).alias("e")).select("e.*")
+        lows, highs = [f"array_min_{c}" for c in _ENDS], [f"array_max_{c}" for c in _ENDS]
+        ends = [F.min(c).alias(c) for c in lows] + [F.max(c).alias(c) for c in highs]
+        per = rows.groupBy("f", "v").agg(F.count("*").alias("docs"), *ends).groupBy("f").agg(F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("docs"))), F.lit(0)).alias("doc_count"), F.count("v").alias("term_count"), *ends)
+        # a field without any value has a row as well
+        every = df.sparkSession.createDataFrame([(i, c, k) for i, (c, k) in enumerate(zip(names, kinds))], "f int, field string, type string")
+        per = F.broadcast(every).join(per, "f", "left")
+        lo, hi = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for i, (kind, name) in enumerate(zip(element, kinds)):
+            own = _end_column(kind)
+            lo = F.when(F.col("f") == i, show(F.col(f"array_min_{own}").cast(kind), name)).otherwise(lo)
+            hi = F.when(F.col("f") == i, show(F.col(f"array_max_{own}").cast(kind), name)).otherwise(hi)
+        parts.append(per.select(F.lit(index).alias("index"), "field", "type", F.coalesce("doc_count", F.lit(0)).alias("doc_count"), F.coalesce("term_count", F.lit(0)).alias("term_count"), lo.alias("lo"), hi.alias("hi")))
     return reduce(DataFrame.unionByName, parts).orderBy("index", F.lower("field"))
 
 
+def _entries(values: Column, number: int, rest: list[Column]) -> Column:
+    return F.transform(values, lambda x: F.struct(F.lit(number).alias("f"), x.alias("v"), *rest))
+
+
+def field_options(df: DataFrame, name: str, mapping: Mapping = Mapping()) -> dict[str, str]:
+    """How a field is indexed and whether it has a column: as the catalog says it."""
+    kind = mapping.type_of(df, name)
+    if mapping.is_text(df, name):
+        analysed = kind != "keyword" and mapping.analyzers.get(name) != "keyword"
+        return {"indexOptions": "DOCS_AND_FREQS_AND_POSITIONS" if analysed else "DOCS", "docValuesOptions": "FIELDDATA" if analysed else "SORTED_SET"}
+    width = {"bigint": 8, "int": 4, "smallint": 4, "tinyint": 4, "float": 4, "double": 8, "timestamp_ntz": 8}.get(SQL_TYPES.get(kind, ""), 0)
+    points = "POINTS(2::4)" if kind == "geo_point" else f"POINTS(1::{width})" if width else "DOCS" if kind in ("bool", "boolean") else "NONE"
+    return {"indexOptions": points, "docValuesOptions": "BINARY" if kind == "binary" else "SORTED_NUMERIC"}
+
+
 def combined_stats(parts: DataFrame) -> DataFrame:
     """Field statistics of several parts of a table as one: documents add up, of terms the largest number counts."""
     return parts.groupBy("index", "field", "type").agg(F.sum("doc_count").alias("doc_count"), F.max("term_count").alias("term_count"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))

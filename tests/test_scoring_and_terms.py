@@ -135,6 +135,33 @@ def test_cache_report(spark):
 def test_versions(spark):
     nodes = spark.createDataFrame([("b", "1", {"x": "1", "node.name": "b"}), ("a", "1", {"x": "1", "y": "2", "node.name": "a"}), ("c", "2", {"x": "1", "y": "2", "z": "3"}), ("a", "9", {})], "node string, version string, settings map<string, string>").coalesce(1)
     got = {r.node: (r.differences, r.reason) for r in admin.version_report(nodes).collect()}
-    assert got == {"a": ({}, None), "b": ({"y": "2 | -"}, "settings"), "c": ({}, "version")}
+    assert got == {"a": ({}, None), "b": ({"y": "2 | -"}, None), "c": ({}, "ES-Version")}
     assert tuple(admin.version_summary(nodes).head()) == (3, False, True)
     assert "termlist" in admin.help_page()["operations"] and admin.node_settings(spark).count() == 1
+
+
+def test_field_catalog_of_odd_fields(spark):
+    rows = [(1, None, [3, 1], -1.5, True, b"\x01"), (2, "", [], 2.5, None, None), (3, "Zed a", None, None, False, b"\xff"), (4, "a", [10], -1.5, None, None)]
+    df = spark.createDataFrame(rows, "id int, text string, many array<int>, x double, ok boolean, raw binary").withColumn("none", F.lit(None).cast("long")).withColumn("day", F.expr("timestamp_ntz'2020-01-02' + make_dt_interval(id)"))
+    got = {r.field: (r.type, r.doc_count, r.term_count, r.lo, r.hi) for r in termlist.field_catalog({"t": df, "e": df.where("1 = 0").select("id")}).where("index = 't'").collect()}
+    assert got == {
+        "id": ("integer", 4, 4, "1", "4"), "text": ("text", 2, 2, "a", "zed"), "many": ("integer", 2, 3, "1", "10"), "x": ("double", 3, 2, "-1.5", "2.5"), "ok": ("boolean", 2, 2, "false", "true"),
+        "raw": ("binary", 2, 2, "[01]", "[FF]"), "none": ("long", 0, 0, None, None), "day": ("date", 4, 4, "2020-01-03T00:00:00.000Z", "2020-01-06T00:00:00.000Z")}
+    assert [r.doc_count for r in termlist.field_catalog({"e": df.where("1 = 0").select("id")}).collect()] == [0]
+
+
+def test_explanations(spark):
+    docs = spark.createDataFrame([(1, ["a", "a", "b"]), (2, ["b"])], "id int, t array<string>")
+    plain = similarity.scored(docs, "t", ["a"], explain=True).head().explanation[0]
+    assert plain.description == "tfBoost (tf=2.0, fieldlen=3, maxTf=0.20, forceTf=-1.0, bias=0.60)" and plain.details == []
+    boosted = similarity.scored(docs, "t", ["a"], boost=2.0, explain=True, parent_term="p").head().explanation[0]
+    assert boosted.description == "p/Combined from:" and [x.description for x in boosted.details] == [plain.description, "*= boost=2.000"] and boosted.details[0].value == pytest.approx(plain.score)
+    full = similarity.scored(docs, "t", ["a", "b"], Settings(max_idf=1.0), explain=True).where("id = 2").head().explanation
+    assert full[0].description is None and [x.description.split(" ")[0] for x in full[1].details] == ["tfBoost", "+="]
+
+
+def test_overlaps_count_only_if_wanted(spark):
+    docs = spark.createDataFrame([(1, [("a", 1), ("x", 0), ("b", 1)])], "id int, t array<struct<term: string, pos_inc: int>>")
+    for settings, n in ((Settings(), 2), (Settings(discount_overlaps=False), 3)):
+        got = similarity.scored(docs, "t", ["a"], settings).head().score
+        assert got == pytest.approx(1 + 0.2 * math.log(1.6) / math.log(0.6 + n))
