@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.functions.formats import printable, size_text
 from foliant.functions.replace import extracted_by, remainder
@@ -22,6 +23,10 @@ HELP = {
 }
 
 
+#: Where those are sent who don't ask for JSON.
+HELP_PAGE = "README.md#how-the-operators-map-to-plans"
+
+
 def help_page() -> dict:
     """The operations on offer, the settings of the score, and the parameters of parent counts."""
     from dataclasses import asdict
@@ -31,6 +36,13 @@ def help_page() -> dict:
     return {"operations": HELP, "score_settings": asdict(Settings()), "parent_counts": ["parent_paths", "compensate_non_existing", "resilient"]}
 
 
+def help_response(accept: str | None = None) -> dict:
+    """The help for a request that accepts JSON or JavaScript, a redirect to the page for any other."""
+    if accept is not None and ("application/json" in accept or "text/javascript" in accept):
+        return {"status": 200, "body": help_page()}
+    return {"status": 302, "headers": {"Location": HELP_PAGE}, "body": HELP_PAGE}
+
+
 def split_key(key: Column, kind: str, index_expr: str | None = "") -> tuple[Column, Column]:
     """Index and query of a cache key.
 
@@ -74,24 +86,35 @@ def node_settings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(settings.get("spark.driver.host", "driver"), spark.version, settings)], "node string, version string, settings map<string, string>")
 
 
-def version_report(nodes: DataFrame) -> DataFrame:
+def merged_nodes(nodes: DataFrame, order: str | None = None) -> DataFrame:
+    """One row per node, the first by ``order``; without one, the first by its values, so that the result is fixed."""
+    rest = [c for c in nodes.columns if c != "node"]
+    plain = [F.to_json(F.struct(F.array_sort(F.map_entries(c)))).alias(c) if isinstance(nodes.schema[c].dataType, T.MapType) else F.col(c) for c in rest]
+    by = F.struct(*([F.col(order)] if order else []), *plain)
+    return nodes.groupBy("node").agg(*[F.min_by(c, by).alias(c) for c in rest])
+
+
+def version_report(nodes: DataFrame, order: str | None = None) -> DataFrame:
     """``node, differences, reason`` of each node against the first by name.
 
-    ``differences`` maps settings of the first node that this one lacks or has otherwise to both values; the
-    reason is the first of: settings, version, location, size.  Repeated nodes count once, the first wins.
+    ``differences`` maps settings of the first node that this one lacks or has otherwise to both values; settings
+    alone are no reason.  That is the first of ``ES-Version``, ``location`` and ``size`` in which the nodes differ;
+    what the first node doesn't know differs from everything, and so does a size of 0.  Of repeated nodes the first
+    by ``order`` counts.
     """
-    optional = [c for c in ("location", "size") if c in nodes.columns]
-    unique = nodes.groupBy("node").agg(*[F.first(c).alias(c) for c in ("version", "settings", *optional)])
-    first = unique.orderBy("node").limit(1).select(*[F.col(c).alias(f"first_{c}") for c in ("node", "version", "settings", *optional)])
+    fields = [("version", "ES-Version"), *((c, c) for c in ("location", "size") if c in nodes.columns)]
+    unique = merged_nodes(nodes, order)
+    first = unique.orderBy("node").limit(1).select(*[F.col(c).alias(f"first_{c}") for c in ("node", "settings", *(c for c, _ in fields))])
     both = unique.crossJoin(F.broadcast(first))  # one row
-    kept = F.map_filter("first_settings", lambda k, v: ~k.isin(*IGNORED_SETTINGS) & ~F.try_element_at(F.col("settings"), k).eqNullSafe(v))
+    kept = F.map_filter(F.coalesce("first_settings", F.create_map().cast("map<string, string>")), lambda k, v: ~k.isin(*IGNORED_SETTINGS) & ~F.coalesce(F.try_element_at(F.col("settings"), k) == v, F.lit(False)))
     differences = F.transform_values(kept, lambda k, v: F.concat_ws(" | ", v, F.coalesce(F.try_element_at(F.col("settings"), k), F.lit("-"))))
-    reason = F.when(F.size(kept) > 0, "settings").when(~F.col("version").eqNullSafe(F.col("first_version")), "version")
-    for c in optional:
-        reason = reason.when(~F.col(c).eqNullSafe(F.col(f"first_{c}")), c)
+    reason = F.when(F.col("node") == F.col("first_node"), F.lit(None).cast("string"))
+    for c, name in fields:
+        other = F.col(f"first_{c}").isNull() | ~F.col(c).eqNullSafe(F.col(f"first_{c}"))
+        reason = reason.when(other | (F.col(f"first_{c}") == 0) if c == "size" else other, name)
     return both.select("node", differences.alias("differences"), reason.alias("reason"))
 
 
 def version_summary(nodes: DataFrame) -> DataFrame:
     """One row: ``active_nodes, all_versions_ok, settings_differences``."""
-    return version_report(nodes).agg(F.count("*").alias("active_nodes"), (F.count("reason") == 0).alias("all_versions_ok"), (F.count_if(F.col("reason") == "settings") > 0).alias("settings_differences"))
+    return version_report(nodes).agg(F.count("*").alias("active_nodes"), ((F.count("reason") == 0) & (F.count("*") > 0)).alias("all_versions_ok"), (F.count_if(F.size("differences") > 0) > 0).alias("settings_differences"))
