@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.formats import grouped_hex
 from foliant.functions.selector import Selector
 from foliant.functions.typed import show
 from foliant.operators.termlist import Mapping
@@ -40,11 +41,18 @@ def _long(doc: DataFrame, parts: list[Column]) -> DataFrame:
     return doc.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
 
 
-def stored(doc: DataFrame, selector: Selector = Selector(), mapping: Mapping = Mapping()) -> DataFrame:
-    """``field, value, value_num`` of each stored value."""
+def stored(doc: DataFrame, selector: Selector = Selector(), mapping: Mapping = Mapping(), level: int = 0) -> DataFrame:
+    """``field, value, value_num`` of each stored value; from ``level`` 1 on also its bytes, as they are and as text, and its type."""
     names = field_order(selector.of(doc.columns))
     numeric = {n for n, t in doc.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double")}
-    parts = [F.struct(F.lit(n).alias("field"), show(F.col(n), mapping.type_of(doc, n)).alias("value"), (F.col(n).cast("double") if n in numeric else F.lit(None).cast("double")).alias("value_num")) for n in names]
+    parts = []
+    for n in names:
+        value = show(F.col(n), mapping.type_of(doc, n))
+        own = [F.lit(n).alias("field"), value.alias("value"), (F.col(n).cast("double") if n in numeric else F.lit(None).cast("double")).alias("value_num")]
+        if level > 0:
+            data = value.cast("binary")
+            own += [grouped_hex(data).alias("value_bin"), value.alias("value_binstr"), F.lit(mapping.type_of(doc, n)).alias("type"), F.lit(type(doc.schema[n].dataType).__name__).alias("class")]
+        parts.append(F.struct(*own))
     return _long(doc, parts).where("value is not null")
 
 
@@ -85,13 +93,16 @@ def postings(doc: DataFrame, name: str, mapping: Mapping = Mapping(), dense: boo
     return out.select(F.lit(name).alias("field"), "term", "count", "postings")
 
 
-def docvalues(doc: DataFrame, selector: Selector = Selector(), mapping: Mapping = Mapping()) -> DataFrame:
-    """``field, count, values`` of each column; array columns have several values."""
+def docvalues(doc: DataFrame, selector: Selector = Selector(), mapping: Mapping = Mapping(), level: int = 0) -> DataFrame:
+    """``field, count, values`` of each column; array columns have several values.
+
+    From ``level`` 1 on each value is followed by its bytes, as ``BIN: [hexadecimal]``.
+    """
     parts = []
     for n in field_order(selector.of(doc.columns)):
         kind = mapping.type_of(doc, n)
         values = F.col(n) if dict(doc.dtypes)[n].startswith("array") else F.array_compact(F.array(n))
-        parts.append(F.struct(F.lit(n).alias("field"), F.coalesce(F.size(values), F.lit(0)).alias("count"), F.transform(values, _shower(kind)).alias("values")))
+        parts.append(F.struct(F.lit(n).alias("field"), F.coalesce(F.size(values), F.lit(0)).alias("count"), (F.flatten(F.transform(values, _both(kind))) if level > 0 else F.transform(values, _shower(kind))).alias("values")))
     return _long(doc, parts)
 
 
@@ -99,6 +110,10 @@ def _shower(kind: str):
     return lambda v: show(v, kind)
 
 
+def _both(kind: str):
+    return lambda v: F.array(show(v, kind), F.concat(F.lit("BIN: "), grouped_hex(show(v, kind).cast("binary"))))
+
+
 def view(doc: DataFrame, output: str | None = None, fields: str | None = None, field_expr: str | None = None, mapping: Mapping = Mapping()) -> DataFrame:
     """``section, field, item`` of a document: the wanted sections in one list."""
     wanted, selector = Selector(output), Selector(fields, field_expr)
