@@ -69,6 +69,43 @@ def from_sortable_long(value: Column) -> Column:
     return F.when(F.octet_length(value) == 8, (unsigned - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long"))
 
 
+def sortable(value: Column, mapping: str) -> Column:
+    """The bytes under which a value of a type is indexed; null for null.
+
+    Text is UTF-8, a boolean ``T`` or ``F``.  Numbers are big-endian with the sign flipped, 4 bytes for integers of up to
+    32 bits and floats, 8 for others and for dates in milliseconds; of negative floats the other bits are flipped too.
+    """
+    kind = SQL_TYPES.get(mapping)
+    if kind == "string":
+        return value.cast("string").cast("binary")
+    if kind == "boolean":
+        return F.when(value, F.lit("T")).when(~value, F.lit("F")).cast("binary")
+    if kind in ("int", "smallint", "tinyint"):
+        return F.unhex(F.lpad(F.hex(value.cast("long") + F.lit(1 << 31)), 8, "0"))
+    if kind == "bigint":
+        return sortable_long(value)
+    if mapping == "date":
+        days, left = F.datediff(value, F.lit("1970-01-01").cast("date")).cast("long"), value.cast("timestamp_ntz")
+        seconds = F.hour(left) * 3600 + F.minute(left) * 60
+        return sortable_long(days * 86400000 + seconds.cast("long") * 1000 + F.floor(F.date_part(F.lit("SECOND"), left) * 1000).cast("long"))
+    if kind in ("float", "double"):
+        return _floating_bytes(np.float32, np.int32)(value.cast("float")) if kind == "float" else _floating_bytes(np.float64, np.int64)(value.cast("double"))
+    raise ValueError(f"values of type {mapping!r} have no sortable form")
+
+
+def _floating_bytes(kind: type, bits: type):
+    @F.arrow_udf(T.BinaryType())
+    def run(numbers: pa.Array) -> pa.Array:
+        x = numbers.fill_null(0).to_numpy(zero_copy_only=False).astype(kind).view(bits)
+        x = x ^ (x >> (8 * x.itemsize - 1)) & np.iinfo(bits).max ^ np.iinfo(bits).min
+        width = x.itemsize
+        data = x.astype(f">i{width}").tobytes()
+        ok = numbers.is_valid().to_pylist()
+        return pa.array([data[i * width : (i + 1) * width] if ok[i] else None for i in range(len(ok))], pa.binary())
+
+    return run
+
+
 def _numbers(value: Column, width: int) -> Column:
     """The numbers of sortable bytes, ``width`` bytes each; null where the length doesn't fit."""
     n = (F.octet_length(value) / width).cast("int")

@@ -103,3 +103,15 @@ def test_indexed_bytes_of_every_type(spark):
         df = spark.createDataFrame([(bytes.fromhex(code),), (bytes.fromhex(code[:6]),), (None,)], "x binary")
         got = [r[0] for r in df.select(decoded(F.col("x"), mapping)).collect()]
         assert got[0] == wanted and got[1].replace(" ", "").upper() == f"[{code[:6]}]" and got[2] is None, (mapping, got)
+
+
+def test_sortable_bytes_sort_as_values_do(spark):
+    from foliant.functions.typed import decoded, sortable
+
+    for kind, ddl, values in (("long", "long", [-(1 << 63), -5, 0, 7, (1 << 63) - 1]), ("integer", "int", [-(1 << 31), -1, 0, 3, (1 << 31) - 1]), ("double", "double", [float("-inf"), -2.5, -0.25, 0.0, 1e-3, 8.0, float("inf")]), ("float", "float", [-8.0, -0.5, 0.0, 0.5, 3.0])):
+        rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(99, None)], f"i int, v {ddl}").select("i", "v", sortable(F.col("v"), kind).alias("b"))
+        got = rows.select("i", "v", "b", decoded(F.col("b"), kind).alias("back")).where("i < 99").orderBy("b").collect()
+        assert [r.i for r in got] == list(range(len(values))) and [float(r.back) for r in got] == [float(v) for v in values]
+        assert rows.where("i = 99").head().b is None
+    with pytest.raises(ValueError):
+        sortable(F.lit(1), "geo_point")
