@@ -36,6 +36,14 @@ def test_query(spark, con, name):
         assert rows
 
 
+@pytest.mark.parametrize("name,table,scans", [("undup_multi2", "lineitem", 1), ("undup_multi4", "lineitem", 1), ("undup_compensate_on", "lineitem", 1), ("undup_live_hops", "lineitem", 1), ("undup_nested", "conversations", 1), ("undup_nested_then_parent", "lineitem", 1), ("termlist_fields", "part", 1), ("termlist_fields", "orders", 1), ("termlist_collisions", "documents", 1)])
+def test_tables_are_read_once(spark, name, table, scans):
+    """Hits, and tables whose fields are listed, have one scan in the plan."""
+    plan = registry.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    column = {"lineitem": "l_returnflag", "conversations": "role", "part": "p_size", "orders": "o_orderdate", "documents": "text"}[table]
+    assert sum("Relation [" in line and column in line for line in plan.splitlines()) == scans
+
+
 def test_contract(spark):
     import __spark_entry__ as e
 
@@ -48,8 +56,16 @@ def test_filters_reach_the_scan(spark):
     assert "ReadSchema: struct<p_size:int>" in plan
 
 
-def test_entry_without_the_training_data_package(monkeypatch):
+@pytest.mark.parametrize("missing", ["foliant.llm", "corpus_pipeline", "regex", "tiktoken.no_such"])
+def test_entry_without_the_training_data_package(monkeypatch, missing):
+    """Neither a missing subpackage nor a library that only it needs takes the other queries away."""
+    import sys
+
     import __spark_entry__ as e
 
-    monkeypatch.setattr(e.importlib.util, "find_spec", lambda name: None)
-    assert set(e.queries()) == set(registry.QUERIES) and set(e.oracle_sql()) == set(registry.ORACLES)
+    for name in [m for m in sys.modules if m.split(".")[0] in ("corpus_pipeline",) or m.startswith("foliant.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
+    own = set(registry.QUERIES)
+    assert set(e.queries()) == own if missing != "tiktoken.no_such" else own <= set(e.queries())
+    assert set(registry.ORACLES) <= set(e.oracle_sql())
