@@ -245,7 +245,11 @@ def forest(group: np.ndarray, fps: np.ndarray, side: np.ndarray | None = None, r
         above = np.where(from_ < 64, full << np.minimum(from_, 63).astype(U64), U64(0))
         below = np.where(to < 64, (U64(1) << np.minimum(to, 63).astype(U64)) - U64(1), full)
         wanted = above & below
-        some = np.flatnonzero(wanted)
+        # 64 rows that are joined to the query already add nothing
+        own = np.concatenate([label, np.full(-n % 64, label[-1])]).reshape(-1, 64)
+        least, most = own.min(1), own.max(1)
+        joined = (least[w] == label[q]) & (most[w] == label[q])
+        some = np.flatnonzero((wanted != 0) & ~joined)
         t, found = within(plane, q[some], w[some], wanted[some], radius)
         if len(t):
             hits = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

@@ -92,6 +92,21 @@ def test_recall_is_the_same_at_hot_keys(spark):
         assert {r.doc_id: r.duplicate_of for r in simhash.near_duplicates(df, tile=tile).collect()} == wanted
 
 
+@pytest.mark.parametrize("sided", [False, True])
+def test_a_large_cluster_is_not_compared_pair_by_pair(monkeypatch, sided):
+    """Rows that are joined already aren't compared again: 6000 near copies in one block, and 200 rows of their own."""
+    rng = np.random.default_rng(4)
+    fp = np.repeat(rng.integers(0, 2**63, (1, 4), dtype=np.uint64), 6000, 0)
+    for _ in range(4):
+        fp[np.arange(6000), rng.integers(0, 4, 6000)] ^= np.uint64(1) << rng.integers(0, 63, 6000).astype(np.uint64)
+    fp = np.concatenate([fp, rng.integers(0, 2**63, (200, 4), dtype=np.uint64)])
+    compared, within = [], simhash.within
+    monkeypatch.setattr(simhash, "within", lambda plane, query, *rest: compared.append(len(query)) or within(plane, query, *rest))
+    row, first = simhash.forest(np.zeros(6200, int), fp, np.arange(6200) % 2 if sided else None)
+    assert row.tolist() == list(range(1, 6000)) and not first.any()
+    assert sum(compared) < 6200 * 97 / 2 / 4
+
+
 def test_stars_equal_union_find(spark):
     rng = random.Random(9)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 430)]
