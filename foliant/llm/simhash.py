@@ -23,16 +23,18 @@ of their text.  An empty table gives an empty result; only the two named columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm.line_dedup import text_hash
 from foliant.llm.session import cut, free_name, has_integers, numbered, table
-from foliant.llm.text import mix, slices, words
+from foliant.llm.text import mix, raw, slices, words
 
 BITS = 256
 #: Of the 256 bits, how many may differ between near-duplicates.
@@ -109,28 +111,46 @@ def blocking_keys(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-_SKETCH = T.StructType([T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])
+_LONGS = T.ArrayType(T.LongType())
+_SKETCH = T.StructType([T.StructField("text_hash", T.LongType()), T.StructField("fp", _LONGS), T.StructField("keys", _LONGS), T.StructField("lines", _LONGS)])
 
 
-def sketch(text: Column) -> Column:
-    """Struct of ``fp`` (4 integers) and ``keys``; null for a text without a word."""
+def line_hashes(texts: pa.Array, rows: np.ndarray, most: int | None) -> pa.ListArray:
+    """Hashes of the lines of those ``rows``, without blank ones; of each text the first ``most``, None takes all."""
+    data, at = raw(texts)
+    found, size = [], []
+    for i in rows.tolist() if most != 0 else []:
+        before = len(found)
+        lines = data[at[i] : at[i + 1]].tobytes().split(b"\n")
+        found += [blake2b(x, digest_size=8).digest() for x in islice((x for x in lines if x.strip(b" ")), most)]
+        size.append(len(found) - before)
+    ends = np.concatenate([[0], np.cumsum(size or np.zeros(len(rows), np.int64))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int64)))
 
-    @F.arrow_udf(_SKETCH)
-    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for part in parts:
-            fps, keys, none = [np.zeros((0, 4), U64)], [np.zeros((0, KEYS + 1), U64)], [np.zeros(0, bool)]
-            for lo, hi in slices(part):
-                hashes, at = words(part.slice(lo, hi - lo))
+
+def _sketches(most: int | None):
+    """For ``mapInArrow``: rows ``id, text_hash, fp, keys, lines`` of rows ``id, text_hash, text`` that have a word.
+
+    The text ends here: an Arrow UDF would hold it twice more beside the result, which a heap can't when it is very long.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2)
+            for lo, hi in slices(texts):
+                part = texts.slice(lo, hi - lo)
+                hashes, at = words(part)
+                some = np.flatnonzero(np.diff(at))
+                if not len(some):
+                    continue
                 fp = fingerprints(hashes, at)
                 whole = mix(mix(mix(mix(fp[:, 0]) ^ fp[:, 1]) ^ fp[:, 2]) ^ fp[:, 3])
-                fps.append(fp)
-                keys.append(np.column_stack([blocking_keys(hashes, at), whole]))
-                none.append(np.diff(at) == 0)
-            f, k, null = np.concatenate(fps), np.concatenate(keys), np.concatenate(none)
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).view(np.int64).reshape(-1)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (f, k)]
-            yield pa.StructArray.from_arrays(lists, fields=[pa.field("fp", lists[0].type), pa.field("keys", lists[1].type)], mask=pa.array(null))
+                keys = np.column_stack([blocking_keys(hashes, at), whole])
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[some].view(np.int64).reshape(-1)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (fp, keys)]
+                own = [batch.column(i).slice(lo, hi - lo).take(pa.array(some)) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([*own, *lists, line_hashes(part, some, most)], names=["id", *_SKETCH.names])
 
-    return run(text)
+    return run
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -353,11 +373,10 @@ def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
         edges = new
 
 
-def _sketched(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``id, text_hash, fp, keys, lines`` of each row with an id and a word; hashes of its lines other than blank ones."""
-    lines = F.transform(F.filter(F.split(F.col(text), "\n", -1), lambda x: F.btrim(x) != ""), lambda x: F.xxhash64(x))
-    rows = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), text_hash(F.col(text)).alias("text_hash"), sketch(F.col(text)).alias("s"), lines.alias("lines"))
-    return rows.where("s is not null").select("id", "text_hash", "s.fp", "s.keys", "lines")
+def _sketched(df: DataFrame, doc_id: str, text: str, lines: int | None = None) -> DataFrame:
+    """``id, text_hash, fp, keys, lines`` of each row with an id and a word; hashes of its first ``lines`` lines other than blank ones."""
+    rows = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), text_hash(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+    return rows.mapInArrow(_sketches(lines), T.StructType([rows.schema["id"], *_SKETCH.fields]))
 
 
 def _groups(sketches: DataFrame, radius: int, tile: int, one_task: int) -> DataFrame:
@@ -375,7 +394,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", r
 
     The blocking keys reach a recall of 0.9 up to about ``RADIUS``.
     """
-    sketches = cut(_sketched(df, doc_id, text).drop("lines"))
+    sketches = cut(_sketched(df, doc_id, text, 0).drop("lines"))
     if has_integers(df, doc_id):
         return _groups(sketches.select(F.col("id").cast("long").alias("doc_id"), "fp", "keys"), radius, tile, one_task)
     names = numbered(sketches.select("id"), "nr")
@@ -392,7 +411,7 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", orig
     first line, and an id that either table has more than once tells nothing about it.
     """
     here, hashed, node = (free_name(df, c) for c in ("__id", "__text_hash", "__node"))
-    sketches = cut(_sketched(df, doc_id, text).withColumn("lines", F.get("lines", F.lit(0))).withColumnRenamed("lines", "line"))
+    sketches = cut(_sketched(df, doc_id, text, 1).withColumn("lines", F.get("lines", F.lit(0))).withColumnRenamed("lines", "line"))
     repeated = not df.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty()
     if repeated or not has_integers(df, doc_id):
         names = numbered(sketches.select("id", "text_hash"), "doc_id")
